@@ -365,22 +365,28 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return lo + int(np.searchsorted(cdf, rng.random() * cdf[-1]))
 
 
-def _shuffled_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One random contingency table with the margins of a stratum, for one permutation."""
-    b, z = int(pdf["b"].iloc[0]), pdf["z"].iloc[0]
+_BLOCK = 25
+
+
+def _shuffled_tables(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Random contingency tables with the margins of a stratum, one per permutation of a block."""
+    z, block, rounds = pdf["z"].iloc[0], int(pdf["block"].iloc[0]), int(pdf["rounds"].iloc[0])
     rng = np.random.default_rng(int(pdf["h"].iloc[0]) & (2**63 - 1))
-    ys = pdf[pdf["side"] == "y"].sort_values("k")
-    left = ys["n"].round().astype("int64").to_list()
+    xs, ys = (pdf[pdf["side"] == s].sort_values("k") for s in ("x", "y"))
+    needs, sizes = ([int(round(v)) for v in t["n"]] for t in (xs, ys))
+    x_keys, y_keys = xs["k"].to_list(), ys["k"].to_list()
     out = []
-    for x, need in pdf[pdf["side"] == "x"].sort_values("k")[["k", "n"]].itertuples(index=False):
-        need, pool = int(round(need)), sum(left)
-        for j, y in enumerate(ys["k"]):
-            pool -= left[j]
-            take = _hypergeometric(rng, left[j], pool, need) if need and left[j] else 0
-            if take:
-                out.append((b, x, y, z, float(take)))
-            left[j] -= take
-            need -= take
+    for b in range(block * _BLOCK, min((block + 1) * _BLOCK, rounds)):
+        left = list(sizes)
+        for x, need in zip(x_keys, needs):
+            pool = sum(left)
+            for j, y in enumerate(y_keys):
+                pool -= left[j]
+                take = _hypergeometric(rng, left[j], pool, need) if need and left[j] else 0
+                if take:
+                    out.append((b, x, y, z, float(take)))
+                    left[j] -= take
+                    need -= take
     return pd.DataFrame(out, columns=["b", "x", "y", "z", "n"])
 
 
@@ -390,20 +396,20 @@ def permutation_test(
     """Permutation test of I(X;Y|Z): observed value, null summary and p = (#{T >= T_obs}+1)/(B+1).
 
     Shuffling y inside a stratum only matters through the table of counts, whose law given the
-    margins is multivariate hypergeometric; so each (round, stratum) draws a table from its
-    margins and the rows of a hot stratum are never moved.
+    margins is multivariate hypergeometric; so each stratum draws its tables from its
+    margins, a block of rounds per group, and the rows of a hot stratum are never moved.
     """
     seed = fresh_seed(seed)
     cells = role_counts(df, c)
     xs = cells.groupBy("z", F.col("x").alias("k")).agg(F.sum("n").alias("n"))
     ys = cells.groupBy("z", F.col("y").alias("k")).agg(F.sum("n").alias("n"))
     sides = xs.withColumn("side", F.lit("x")).unionByName(ys.withColumn("side", F.lit("y")))
-    h = F.xxhash64(F.lit(seed), F.col("b"), F.col("z"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // _BLOCK)))
     draws = (
-        sides.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-        .withColumn("h", h)
-        .groupBy("b", "z")
-        .applyInPandas(_shuffled_table, "b int, x string, y string, z string, n double")
+        sides.withColumn("block", blocks)
+        .withColumns({"h": F.xxhash64(F.lit(seed), F.col("block"), F.col("z")), "rounds": F.lit(rounds)})
+        .groupBy("block", "z")
+        .applyInPandas(_shuffled_tables, "b int, x string, y string, z string, n double")
     )
     null = _cmi_of_cells(draws, ["b"])
     observed = _cmi_of_cells(cells, []).select("cmi").scalar()

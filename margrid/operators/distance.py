@@ -112,8 +112,8 @@ def sinkhorn(
 ) -> DataFrame:
     """Entropic transport cost between p and q on the whole domain, cost scaled by its maximum.
 
-    u and v are tables of cells; a round is two join-and-sum steps.  The table is written to the
-    checkpoint folder every ``check_every`` rounds, where convergence is read as one number.
+    The scalings are tables of cells; a round is two join-and-sum steps, each reading the last
+    scaling once.  They are cut every ``check_every`` rounds, where convergence is one number.
     """
     spark = pq.sparkSession
     grid = domain_grid(spark, domain, domain.attrs)
@@ -133,33 +133,29 @@ def sinkhorn(
             "k", F.exp(-F.col("cost") / F.lit(reg))
         )
     )
-    state = cut(
-        cells.select("cell", "p", "q").withColumns({"u": F.lit(1.0 / size), "v": F.lit(1.0 / size)})
-    )
+    cells = cut(cells.select("cell", "p", "q"))
+
+    def half(side: str, meets: str, weights: DataFrame, mass: str) -> DataFrame:
+        """mass / (kernel x weights): the next scaling of one side."""
+        hit = weights.select(F.col("cell").alias(meets), F.col("w"))
+        sums = kernel.join(hit, meets).groupBy(F.col(side).alias("cell")).agg(F.sum(F.col("k") * F.col("w")).alias("__kw"))
+        return cells.join(sums, "cell").select("cell", (F.col(mass) / F.col("__kw")).alias("w"))
+
+    v = cells.select("cell", F.lit(1.0 / size).alias("w"))
+    u = v
     for round_no in range(1, max_rounds + 1):
-        kv = (
-            kernel.join(state.select(F.col("cell").alias("dst"), "v"), "dst")
-            .groupBy(F.col("src").alias("cell"))
-            .agg(F.sum(F.col("k") * F.col("v")).alias("kv"))
-        )
-        state = state.drop("u").join(kv, "cell").withColumn("u", F.col("p") / F.col("kv")).drop("kv")
-        ku = (
-            kernel.join(state.select(F.col("cell").alias("src"), "u"), "src")
-            .groupBy(F.col("dst").alias("cell"))
-            .agg(F.sum(F.col("k") * F.col("u")).alias("ku"))
-        )
-        state = state.join(ku, "cell").withColumn("v_next", F.col("q") / F.col("ku"))
+        u = half("src", "dst", v, "p")
         if round_no % check_every == 0 or round_no == max_rounds:
-            gap = F.sum(F.abs(F.col("v") * F.col("ku") - F.col("q")))
-            state = cut(state)
-            err = state.agg(gap.alias("gap")).first()["gap"]
-            state = state.drop("v", "ku").withColumnRenamed("v_next", "v")
-            if err < tol:
+            u = cut(u)
+            v = cut(half("dst", "src", u, "q"))
+            wanted = half("src", "dst", v, "p").withColumnRenamed("w", "next")
+            gap = F.sum(F.abs(F.col("w") / F.col("next") - 1.0) * F.col("p"))
+            if u.join(wanted, "cell").join(cells, "cell").agg(gap.alias("gap")).first()["gap"] < tol:
                 break
         else:
-            state = state.drop("v", "ku").withColumnRenamed("v_next", "v")
-    plan = kernel.join(state.select(F.col("cell").alias("src"), "u"), "src").join(
-        state.select(F.col("cell").alias("dst"), "v"), "dst"
+            v = half("dst", "src", u, "q")
+    plan = kernel.join(u.select(F.col("cell").alias("src"), F.col("w").alias("u")), "src").join(
+        v.select(F.col("cell").alias("dst"), F.col("w").alias("v")), "dst"
     )
     return plan.agg(F.sum(F.col("u") * F.col("k") * F.col("v") * F.col("cost")).alias("sinkhorn"))
 

@@ -183,14 +183,12 @@ def quantile_bin(df: DataFrame, cols: Sequence[str], q: int = 5) -> DataFrame:
     out = df
     for c in cols:
         quantiles = exact_quantiles(df, c, [i / q for i in range(q + 1)])
-        edges = quantiles.select(F.array_distinct(F.array(*quantiles.columns))).scalar()
-        inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-        bin_no = F.size(F.filter(inner, lambda e: e < F.col("__v")))
-        out = (
-            out.withColumn("__v", F.col(c).cast("double"))
-            .withColumn(c, F.when(F.col("__v").isNotNull(), bin_no))
-            .drop("__v")
-        )
+        out = out.withColumn("__q", quantiles.select(F.struct(*quantiles.columns)).scalar())
+        edge = [F.col(f"__q.q{i}") for i in range(q + 1)]
+        above = [
+            ((edge[i] > edge[i - 1]) & (edge[i] < F.col(c))).cast("int") for i in range(1, q)
+        ]
+        out = out.withColumn(c, sum(above, F.lit(0))).drop("__q")
     return out
 
 

@@ -1,7 +1,7 @@
 """Iterative fits on tables of cells: raking, multiplicative weights, reweighting, trees.
 
-Every iterate is a table of cells.  Its lineage is cut in the reliable checkpoint folder every
-few rounds, so a lost executor costs at most those rounds.
+Every iterate is a table of cells, bounded by the domain.  Its lineage is cut in the reliable
+checkpoint folder every few rounds, so a lost executor costs at most those rounds.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ CUT_EVERY = 5
 
 
 def ipf_step(table: DataFrame, margin: DataFrame) -> DataFrame:
-    """Scale a table (attrs, value) to one target margin (some attrs, target)."""
+    """Scale a table (attrs, value) to one target margin (some attrs, target).
+
+    The current sums ride along as a window over the cells, so an iterate is read once and the
+    plan grows by one step per margin.
+    """
     keys = [c for c in margin.columns if c != "target"]
-    sums = table.groupBy(*keys).agg(F.sum("value").alias("__s"))
-    ratio = sums.join(margin, keys, "left").select(
-        *keys,
-        F.when(F.col("__s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("__s")).otherwise(0.0).alias("__r"),
-    )
-    return table.join(ratio, keys).select(*table.columns[:-1], (F.col("value") * F.col("__r")).alias("value"))
+    attrs = attrs_of(table)
+    summed = table.withColumn("__s", F.sum("value").over(Window.partitionBy(*keys)))
+    ratio = F.when(F.col("__s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("__s")).otherwise(0.0)
+    return summed.join(margin, keys, "left").select(*attrs, (F.col("value") * ratio).alias("value"))
 
 
 def ipf(table: DataFrame, margins: Sequence[DataFrame], rounds: int = 10) -> DataFrame:
@@ -83,7 +85,7 @@ def multiplicative_weights(
         else:
             cells = domain.guard(attrs)
             table = domain_grid(spark, domain, attrs).select(*attrs, F.lit(1.0 / cells).alias("value"))
-        for i in range(1, rounds + 1):
+        for _ in range(rounds):
             hat = clique_sums(table, domain, inside, "value").withColumnRenamed("value", "hat")
             error = target.join(hat, ["clique", "cell"]).select(
                 "clique", "cell", (F.col("noisy") - F.col("hat") * F.lit(float(total))).alias("err")
@@ -95,10 +97,10 @@ def multiplicative_weights(
                 .groupBy(*attrs)
                 .agg(F.first("value").alias("v"), F.sum("err").alias("up"))
             )
-            raised = moved.select(*attrs, (F.col("v") * F.exp(F.col("up") / F.lit(2.0 * total))).alias("value"))
-            table = normalize(raised)
-            if i % CUT_EVERY == 0 or i == rounds:
-                table = cut(table)
+            # an iterate is read several times by the next round, so it is cut every round
+            table = normalize(
+                cut(moved.select(*attrs, (F.col("v") * F.exp(F.col("up") / F.lit(2.0 * total))).alias("value")))
+            )
         out[attrs] = table
     return out
 
@@ -317,10 +319,10 @@ def fit_tree(
         )
         for i in range(1, rounds + 1):
             for x in ("a", "b"):
-                keys = ["a", "b", f"c{x}"]
-                s = table.groupBy(*keys).agg(F.sum("value").alias("__s"))
+                w = Window.partitionBy("a", "b", f"c{x}")
+                table = table.withColumn("__s", F.sum("value").over(w))
                 ratio = F.when(F.col("__s") > 0, F.col(f"m{x}") / F.col("__s")).otherwise(0.0)
-                table = table.join(s, keys).withColumn("value", F.col("value") * ratio).drop("__s")
+                table = table.withColumn("value", F.col("value") * ratio).drop("__s")
             if i % CUT_EVERY == 0 or i == rounds:
                 table = cut(table)
         table = table.select("a", "b", "ca", "cb", "value")

@@ -143,12 +143,13 @@ def generalized_scores(
         F.col(quality).alias("__q"), F.col(sensitivity).alias("__s")
     ).distinct()
     rivals = front.agg(F.collect_set(F.struct("__q", "__s")).alias("__front")).select("__front").scalar()
-    mine = t * F.col(sensitivity) - F.col(quality)
+    mine = F.col("__t") * F.col(sensitivity) - F.col(quality)
     gaps = F.transform(
-        rivals,
-        lambda r: (mine - (t * r["__s"] - r["__q"])) / (F.col(sensitivity) + r["__s"]),
+        "__rivals",
+        lambda r: (mine - (F.col("__t") * r["__s"] - r["__q"])) / (F.col(sensitivity) + r["__s"]),
     )
-    return candidates.withColumn("score", -F.array_max(gaps))
+    rows = candidates.withColumns({"__t": t, "__rivals": rivals})
+    return rows.withColumn("score", -F.array_max(gaps)).drop("__t", "__rivals")
 
 
 def generalized_exponential_mechanism(
