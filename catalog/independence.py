@@ -223,7 +223,7 @@ def pillai_logistic(spark, sf):
 
 @query("loglinear_test")
 def loglinear_test(spark, sf):
-    return C.loglinear_test(items(spark, sf), ITEM_RULE)
+    return C.loglinear_test(items(spark, sf), ITEM_RULE, rounds=10)
 
 
 def _rank_sql() -> str:

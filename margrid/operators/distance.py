@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from margrid.domain import MAX_CELLS, Domain
+from margrid.operators.encode import quantile_array
 from margrid.operators.marginals import clique_marginals, clique_name, domain_grid
 from margrid.operators.ranking import running_total
 from margrid.session import cut
@@ -189,13 +190,11 @@ def wasserstein_heights(a: DataFrame, b: DataFrame, col: str, bins: int = 100) -
     Edges are the quantiles of both tables together; empty-width bins are left out, which is
     where the plain histogram would divide by zero.
     """
-    from margrid.operators.encode import exact_quantiles
-
     both = a.select(F.col(col).cast("double").alias("v")).unionByName(
         b.select(F.col(col).cast("double").alias("v"))
     )
-    row = exact_quantiles(both, "v", [i / bins for i in range(bins + 1)])
-    edges = row.select(F.array_distinct(F.array(*row.columns))).scalar()
+    row = quantile_array(both, "v", [i / bins for i in range(bins + 1)])
+    edges = row.select(F.array_distinct("q")).scalar()
 
     def heights(df: DataFrame, name: str) -> DataFrame:
         v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())

@@ -145,46 +145,49 @@ def encode_with_mean_impute(df: DataFrame, cols: Sequence[str], missing: str = "
 # ---------------------------------------------------------------- bins and scales
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, as one row (q0, q1, ...).
+def quantile_array(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, as one row with an array ``q``.
 
-    Values are counted, their running total gives each value its rank range, and every quantile
-    picks the values that hold its two ranks: nothing larger than a value count is gathered.
+    Values are counted, their running total gives each value its rank range, and each value
+    emits the wanted ranks it holds: nothing larger than a value count is moved.
     """
     counts = (
         df.where(F.col(col).isNotNull())
         .groupBy(F.col(col).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_total(counts, "v", "n")
-    last = counts.select(F.sum("n") - 1).scalar()
-    holds = lambda k: F.max(
-        F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("v"))
+    last = counts.select((F.sum("n") - 1).cast("double")).scalar()
+    wanted = F.array(
+        *[F.struct(F.lit(i).alias("i"), (last * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)]
     )
-    picks = []
-    for i, p in enumerate(probs):
-        at = last * F.lit(float(p))
-        picks += [
-            holds(F.floor(at)).alias(f"lo{i}"),
-            holds(F.ceil(at)).alias(f"hi{i}"),
-            F.max(at - F.floor(at)).alias(f"f{i}"),
-        ]
-    row = ranked.agg(*picks)
-    return row.select(
-        *[
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}")
-            for i in range(len(probs))
-        ]
+    ranked = running_total(counts, "v", "n").withColumn("wanted", wanted)
+    held = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    inside = F.filter("wanted", lambda s: held(F.floor(s["at"])) | held(F.ceil(s["at"])))
+    hits = ranked.select("v", "before", "n", F.explode(inside).alias("w"))
+    frac = F.col("w.at") - F.floor("w.at")
+    low = F.when(held(F.floor("w.at")), F.col("v"))
+    high = F.when(held(F.ceil("w.at")), F.col("v"))
+    ends = hits.groupBy("w.i").agg(F.max(low).alias("lo"), F.max(high).alias("hi"), F.max(frac).alias("f"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")
+    # one entry per requested quantile
+    return ends.agg(F.sort_array(F.collect_list(F.struct("i", value.alias("q")))).alias("s")).select(
+        F.col("s.q").alias("q")
     )
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles as one row (q0, q1, ...)."""
+    row = quantile_array(df, col, probs)
+    return row.select(*[F.get("q", i).alias(f"q{i}") for i in range(len(probs))])
+
+
 def quantile_bin(df: DataFrame, cols: Sequence[str], q: int = 5) -> DataFrame:
     """Bin number by exact quantile edges, right-closed, equal edges merged."""
     out = df
     for c in cols:
-        quantiles = exact_quantiles(df, c, [i / q for i in range(q + 1)])
-        out = out.withColumn("__q", quantiles.select(F.struct(*quantiles.columns)).scalar())
-        edge = [F.col(f"__q.q{i}") for i in range(q + 1)]
+        quantiles = quantile_array(df, c, [i / q for i in range(q + 1)])
+        out = out.withColumn("__q", quantiles.scalar())
+        edge = [F.get("__q", i) for i in range(q + 1)]
         above = [
             ((edge[i] > edge[i - 1]) & (edge[i] < F.col(c))).cast("int") for i in range(1, q)
         ]

@@ -9,12 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from margrid.domain import Domain
 from margrid.operators.factors import attrs_of, factor_product, factor_project, normalize
-from margrid.operators.marginals import clique_cells, clique_name, clique_sums, domain_grid
+from margrid.operators.marginals import (
+    clique_cells,
+    clique_chunks,
+    clique_name,
+    clique_sums,
+    domain_grid,
+)
 from margrid.session import cut
 
 CUT_EVERY = 5
@@ -65,44 +71,70 @@ def connected_groups(cliques: Sequence[Sequence[str]], domain: Domain) -> list[t
     return [tuple(a for a in domain.attrs if a in g) for g in groups]
 
 
+def member_cells(
+    domain: Domain, groups: Sequence[Sequence[str]], cliques: Sequence[Sequence[str]]
+) -> Column:
+    """Array of the (clique, ccell) pairs a (grp, cell) row lies in, cliques inside their group."""
+    out: Column | None = None
+    for g in groups:
+        inside = dict(domain.strides(g))
+        rows = []
+        for c in cliques:
+            if set(c) <= set(g):
+                cell = F.lit(0).cast("bigint")
+                for a, stride in domain.strides(c):
+                    cell = cell + F.expr(f"(cell div {inside[a]}L) % {domain[a]}L") * F.lit(stride)
+                rows.append(F.struct(F.lit(clique_name(c)).alias("clique"), cell.alias("ccell")))
+        hit = F.col("grp") == clique_name(g)
+        out = F.when(hit, F.array(*rows)) if out is None else out.when(hit, F.array(*rows))
+    return out
+
+
+def normalize_groups(state: DataFrame) -> DataFrame:
+    """Scale each group's table (grp, cell, value) to 1."""
+    mass = state.groupBy("grp").agg(F.sum("value").alias("__m"))
+    return state.join(mass, "grp").select("grp", "cell", (F.col("value") / F.col("__m")).alias("value"))
+
+
 def multiplicative_weights(
-    measured: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], total: float, rounds: int = 20,
-    start: dict[tuple[str, ...], DataFrame] | None = None,
-) -> dict[tuple[str, ...], DataFrame]:
-    """One probability table per connected group of measured cliques.
+    measured: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], total: float, rounds: int = 20
+) -> DataFrame:
+    """One probability table per connected group of measured cliques, as (grp, cell, value).
 
     Each round multiplies a cell by exp of the summed errors of the measurements it lies in,
-    over 2 total, and renormalises.  ``measured`` is (clique, cell, noisy).
+    over 2 total, and renormalises; all groups move in the same job.  ``measured`` is
+    (clique, cell, noisy).  An iterate is read several times by the next round, so it is cut
+    every round.
     """
-    out = {}
-    spark = measured.sparkSession
-    for attrs in connected_groups(cliques, domain):
-        inside = [tuple(c) for c in cliques if set(c) <= set(attrs)]
-        names = [clique_name(c) for c in inside]
-        target = measured.where(F.col("clique").isin(names)).select("clique", "cell", "noisy")
-        if start and attrs in start:
-            table = start[attrs].select(*attrs, "value")
-        else:
-            cells = domain.guard(attrs)
-            table = domain_grid(spark, domain, attrs).select(*attrs, F.lit(1.0 / cells).alias("value"))
-        for _ in range(rounds):
-            hat = clique_sums(table, domain, inside, "value").withColumnRenamed("value", "hat")
-            error = target.join(hat, ["clique", "cell"]).select(
-                "clique", "cell", (F.col("noisy") - F.col("hat") * F.lit(float(total))).alias("err")
-            )
-            long = table.select(*attrs, "value", F.explode(clique_cells(domain, inside)).alias("m"))
-            moved = (
-                long.select(*attrs, "value", "m.clique", "m.cell")
-                .join(error, ["clique", "cell"])
-                .groupBy(*attrs)
-                .agg(F.first("value").alias("v"), F.sum("err").alias("up"))
-            )
-            # an iterate is read several times by the next round, so it is cut every round
-            table = normalize(
-                cut(moved.select(*attrs, (F.col("v") * F.exp(F.col("up") / F.lit(2.0 * total))).alias("value")))
-            )
-        out[attrs] = table
-    return out
+    groups = connected_groups(cliques, domain)
+    names = [clique_name(c) for c in cliques]
+    target = measured.where(F.col("clique").isin(names)).select(
+        "clique", F.col("cell").alias("ccell"), "noisy"
+    )
+    state = clique_chunks(measured.sparkSession, domain, groups).withColumnRenamed("clique", "grp")
+    sizes = F.create_map(*[F.lit(v) for g in groups for v in (clique_name(g), 1.0 / domain.size(g))])
+    state = state.withColumn("value", F.element_at(sizes, F.col("grp")))
+    for _ in range(rounds):
+        long = state.select("grp", "cell", "value", F.explode(member_cells(domain, groups, cliques)).alias("m"))
+        long = long.select("grp", "cell", "value", "m.clique", "m.ccell")
+        hat = long.groupBy("clique", "ccell").agg(F.sum("value").alias("hat"))
+        error = target.join(hat, ["clique", "ccell"]).select(
+            "clique", "ccell", (F.col("noisy") - F.col("hat") * F.lit(float(total))).alias("err")
+        )
+        moved = (
+            long.join(error, ["clique", "ccell"])
+            .groupBy("grp", "cell")
+            .agg(F.first("value").alias("v"), F.sum("err").alias("up"))
+        )
+        raised = F.col("v") * F.exp(F.col("up") / F.lit(2.0 * total))
+        state = normalize_groups(cut(moved.select("grp", "cell", raised.alias("value"))))
+    return state
+
+
+def group_table(state: DataFrame, domain: Domain, group: Sequence[str]) -> DataFrame:
+    """One group's table with its codes as columns."""
+    rows = state.where(F.col("grp") == clique_name(group))
+    return rows.select(*domain.decode(group), "value")
 
 
 # ---------------------------------------------------------------- reweighting rows

@@ -13,6 +13,7 @@ from margrid.operators.factors import attrs_of
 from margrid.operators.fit import TreeModel, cumulative
 from margrid.operators.noise import interval_assign, round_counts
 from margrid.operators.ranking import hash_order_number, running_total
+from margrid.session import cut
 
 
 def pick(cdf: str, mass: str, u: Column) -> Column:
@@ -46,9 +47,11 @@ def deal_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child:
     """Add a column with rounded counts per parent group instead of independent draws.
 
     The rows of a parent group are numbered by hash order in pieces and take codes by the
-    running total of the group's rounded counts.
+    running total of the group's rounded counts.  Rows are read several times, so they are cut
+    first; independent draws need no such step and are the better choice for very many rows.
     """
     parents = list(parents)
+    rows = cut(rows)
     sizes = rows.groupBy(*parents).agg(F.count(F.lit(1)).cast("double").alias("want"))
     live = table.groupBy(*parents).agg(F.sum("value").alias("__m"))
     own = table.groupBy(child).agg(F.sum("value").alias("__own"))
