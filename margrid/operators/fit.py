@@ -108,8 +108,8 @@ def multiplicative_weights(
     """
     groups = connected_groups(cliques, domain)
     names = [clique_name(c) for c in cliques]
-    target = measured.where(F.col("clique").isin(names)).select(
-        "clique", F.col("cell").alias("ccell"), "noisy"
+    target = cut(
+        measured.where(F.col("clique").isin(names)).select("clique", F.col("cell").alias("ccell"), "noisy")
     )
     state = clique_chunks(measured.sparkSession, domain, groups).withColumnRenamed("clique", "grp")
     sizes = F.create_map(*[F.lit(v) for g in groups for v in (clique_name(g), 1.0 / domain.size(g))])
@@ -151,6 +151,7 @@ def reweight_public(
     (clique, cell, noisy, stddev); the result adds ``weight`` (of the cell) and ``row_weight``.
     """
     attrs = list(domain.attrs)
+    measured = cut(measured)
     cells = cut(
         public.where(domain.in_range())
         .groupBy(*attrs)

@@ -149,7 +149,7 @@ def run_grid(
         rows = rows.join(moves, KEYS)
         pcode = F.when(F.col("parent") < 0, F.lit(-1)).otherwise(F.get("codes", F.col("parent")))
         rows = rows.withColumn("pcode", pcode).join(here, [*KEYS, "pcode"])
-        code = pick("cdf", "mass", H.uniform(f"{seed}/row/{step}", *KEYS, "id"))
+        code = pick(F.col("cdf"), F.col("mass"), H.uniform(f"{seed}/row/{step}", *KEYS, "id"))
         drawn = rows.withColumn("__code", code)
         rows = drawn.select(
             *KEYS, "id",

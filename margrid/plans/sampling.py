@@ -16,10 +16,10 @@ from margrid.operators.ranking import hash_order_number, running_total
 from margrid.session import cut
 
 
-def pick(cdf: str, mass: str, u: Column) -> Column:
+def pick(cdf: Column, mass: Column, u: Column) -> Column:
     """Key of the first step of a cumulative array that exceeds u * mass."""
-    above = F.filter(F.col(cdf), lambda s: s["cum"] > u * F.col(mass))
-    return F.coalesce(F.get(above, 0), F.element_at(F.col(cdf), -1))["key"]
+    above = F.filter(cdf, lambda s: s["cum"] > u * mass)
+    return F.coalesce(F.get(above, 0), F.element_at(cdf, -1))["key"]
 
 
 def draw_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child: str, seed: str, key: str = "id") -> DataFrame:
@@ -40,7 +40,7 @@ def draw_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child:
             }
         )
     u = uniform(f"{seed}/{child}", key)
-    return joined.withColumn(child, pick("cdf", "mass", u)).drop("cdf", "mass")
+    return joined.withColumn(child, pick(F.col("cdf"), F.col("mass"), u)).drop("cdf", "mass")
 
 
 def deal_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child: str, seed: str, key: str = "id") -> DataFrame:
@@ -133,13 +133,10 @@ def mixture_sample(
         F.map_from_entries(F.collect_list(F.struct("attr", F.struct("cdf", "mass")))).alias("m")
     )
     rows = rows.join(table, "component")
-    out = []
-    for a in domain.attrs:
-        entry = F.element_at("m", F.lit(a))
-        u = uniform(f"{seed}/{a}", "id")
-        above = F.filter(entry["cdf"], lambda s, e=entry, v=u: s["cum"] > v * e["mass"])
-        out.append(F.coalesce(F.get(above, 0), F.element_at(entry["cdf"], -1))["key"].alias(a))
-    return rows.select("id", *out)
+    draw = lambda a: pick(
+        F.element_at("m", F.lit(a))["cdf"], F.element_at("m", F.lit(a))["mass"], uniform(f"{seed}/{a}", "id")
+    )
+    return rows.select("id", *[draw(a).alias(a) for a in domain.attrs])
 
 
 def mixture_cells(parts: DataFrame, domain: Domain, total: float, components: int) -> DataFrame:

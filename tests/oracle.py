@@ -105,7 +105,7 @@ def main(names: list[str]) -> None:
                 rows = df.collect()
                 out = f"rows {len(rows)} {rows[0] if rows else ''}"
         except Exception as e:  # noqa: BLE001
-            out = "ERROR " + " ".join(str(e).split())[:600]
+            out = "ERROR " + " ".join(str(e).split())[:300]
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         print(f"{name:34s} {time.time() - start:6.2f}s  {out}", flush=True)
