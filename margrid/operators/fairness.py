@@ -33,7 +33,7 @@ def rod_by_subset(
     from one count table.
     """
     base = df.groupBy(*admissible, *inadmissible, protected).agg(
-        F.sum(F.col(outcome).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n")
+        F.sum(F.col(outcome).cast("double")).alias("__pos"), F.count(F.lit(1)).alias("__n")
     )
     keys = F.array(
         *[
@@ -44,8 +44,8 @@ def rod_by_subset(
             for s in all_subsets(inadmissible)
         ]
     )
-    long = base.select(F.explode(keys).alias("g"), protected, "pos", "n")
-    sides = long.groupBy("g.subset", "g.grp", protected).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    long = base.select(F.explode(keys).alias("__g"), F.col(protected).alias("__p"), "__pos", "__n")
+    sides = long.groupBy("__g.subset", "__g.grp", "__p").agg(F.sum("__pos").alias("pos"), F.sum("__n").alias("n"))
     mean = F.col("pos") / F.col("n")
     groups = sides.groupBy("subset", "grp").agg(
         F.count(F.lit(1)).alias("k"), F.min(mean).alias("lo"), F.max(mean).alias("hi"), F.sum("n").alias("n")

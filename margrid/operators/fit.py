@@ -166,33 +166,31 @@ def reweight_public(
 
     def gradient(t: DataFrame) -> tuple[DataFrame, float]:
         """Cells with their weight and gradient, and the loss."""
-        weighted = t.withColumn("w", F.exp("logw"))
-        mu = clique_sums(weighted, domain, cliques, "w")
-        diff = measured.join(mu, ["clique", "cell"], "left").select(
-            "clique", "cell",
-            ((F.coalesce("value", F.lit(0.0)) - F.col("noisy")) / F.col("stddev")).alias("d"),
-            "stddev",
+        weighted = t.withColumn("__w", F.exp("logw"))
+        mu = clique_sums(weighted, domain, cliques, "__w")
+        gap = (F.coalesce("value", F.lit(0.0)) - F.col("noisy")) / F.col("stddev")
+        diff = cut(
+            measured.join(mu, ["clique", "cell"], "left").select("clique", "cell", gap.alias("__d"), "stddev")
         )
-        diff = cut(diff)
-        loss = diff.agg((F.lit(0.5) * F.sum(F.col("d") * F.col("d"))).alias("l")).first()["l"]
-        long = weighted.select(*t.columns, "w", F.explode(clique_cells(domain, cliques)).alias("m"))
+        loss = diff.agg((F.lit(0.5) * F.sum(F.col("__d") * F.col("__d"))).alias("l")).first()["l"]
+        long = weighted.select(*t.columns, "__w", F.explode(clique_cells(domain, cliques)).alias("__m"))
         grad = (
-            long.select(*t.columns, "w", "m.clique", "m.cell")
+            long.select(*t.columns, "__w", "__m.clique", "__m.cell")
             .join(diff, ["clique", "cell"])
-            .groupBy(*t.columns, "w")
-            .agg(F.sum(F.col("d") / F.col("stddev")).alias("g"))
+            .groupBy(*t.columns, "__w")
+            .agg(F.sum(F.col("__d") / F.col("stddev")).alias("__g"))
         )
         return cut(grad), loss
 
     state, loss = gradient(scaled(cells))
     alpha, settled = 1.0, False
     for _ in range(rounds):
-        step = state.withColumn("logw", F.col("logw") - F.lit(alpha) * F.col("g"))
+        step = state.withColumn("logw", F.col("logw") - F.lit(alpha) * F.col("__g"))
         trial, trial_loss = gradient(scaled(step.select(*attrs, "n", "logw")))
         drop = (
-            state.select(*attrs, "g", F.col("w").alias("__w0"))
-            .join(trial.select(*attrs, "w"), attrs)
-            .agg(F.sum(F.col("g") * (F.col("__w0") - F.col("w"))).alias("s"))
+            state.select(*attrs, "__g", F.col("__w").alias("__w0"))
+            .join(trial.select(*attrs, "__w"), attrs)
+            .agg(F.sum(F.col("__g") * (F.col("__w0") - F.col("__w"))).alias("s"))
             .first()["s"]
         )
         if loss - trial_loss >= 0.5 * alpha * drop:
@@ -200,7 +198,9 @@ def reweight_public(
             alpha = alpha if settled else 2 * alpha
         else:
             alpha, settled = alpha / 2, True
-    return state.select(*attrs, "n", F.col("w").alias("weight"), (F.col("w") / F.col("n")).alias("row_weight"))
+    return state.select(
+        *attrs, "n", F.col("__w").alias("weight"), (F.col("__w") / F.col("n")).alias("row_weight")
+    )
 
 
 # ---------------------------------------------------------------- overlapping marginals

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from margrid.domain import MAX_CELLS, Domain
 from margrid.operators.ranking import dense_codes
+from margrid.session import shuffle_width
 
 MAX_JOINT = 5_000_000
 _CHUNK = 1 << 16
@@ -173,7 +174,7 @@ def clique_chunks(spark: SparkSession, domain: Domain, cliques: Sequence[Sequenc
             rows.append((clique_name(attrs), start, min(start + _CHUNK, cells) - 1))
     chunks = spark.createDataFrame(rows, "clique string, lo bigint, hi bigint")
     if len(rows) > 64:
-        chunks = chunks.repartition("clique", "lo")
+        chunks = chunks.repartition(shuffle_width(spark), "clique", "lo")
     return chunks.select("clique", F.explode(F.sequence("lo", "hi")).alias("cell"))
 
 

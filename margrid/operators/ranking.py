@@ -74,6 +74,17 @@ def piece_bounds(values: DataFrame, col: str, pieces: int) -> list | None:
     return ordered[step::step][: pieces - 1]
 
 
+def piece_of(col: str, bounds: list, dtype: str) -> Column:
+    """Number of split points not above a value, found in two steps over a square grid of them."""
+    width = max(int(len(bounds) ** 0.5), 1)
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    lits = lambda vs: F.array(*[F.lit(v).cast(dtype) for v in vs])
+    upto = lambda cuts: F.size(F.filter(cuts, lambda b: b <= F.col(col)))
+    block = upto(lits([b[0] for b in blocks]))
+    inside = F.element_at(F.array(*[lits(b) for b in blocks]), F.greatest(block, F.lit(1)))
+    return F.greatest(block - 1, F.lit(0)) * F.lit(width) + upto(inside)
+
+
 def running_total(
     values: DataFrame,
     order: str,
@@ -97,10 +108,7 @@ def running_total(
         w = Window.orderBy(order)
         out = values.withColumn(name, start(fold(amount).over(upto(w))))
         return out.withColumn(follow, F.lead(order).over(w)) if follow else out
-    dtype = dict(values.dtypes)[order]
-    cuts = F.array(*[F.lit(b).cast(dtype) for b in bounds])
-    piece = F.size(F.filter(cuts, lambda b: b <= F.col(order)))
-    rows = values.withColumn("__piece", piece)
+    rows = values.withColumn("__piece", piece_of(order, bounds, dict(values.dtypes)[order]))
     w = Window.partitionBy("__piece").orderBy(order)
     rows = rows.withColumn("__in", start(fold(amount).over(upto(w))))
     if follow:

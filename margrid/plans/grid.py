@@ -15,7 +15,7 @@ from margrid.operators import select as S
 from margrid.operators.fit import cumulative
 from margrid.operators.noise import cdp_rho
 from margrid.plans.sampling import pick
-from margrid.session import cut
+from margrid.session import bounded, cut, shuffle_width
 
 KEYS = ["cs", "eps"]
 
@@ -137,16 +137,18 @@ def run_grid(
 
     # rows of every key, one step per attribute
     n = totals.select(*KEYS, F.floor("total").alias("rows"))
-    chunk = 100_000
+    chunk = 20_000
     rows = n.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / chunk))))
-    rows = rows.repartition(*KEYS, "part").select(
+    # an explicit width: the few chunk rows must not be coalesced before they are expanded
+    rows = rows.repartition(shuffle_width(spark), *KEYS, "part").select(
         *KEYS, F.explode(F.sequence(F.col("part") * chunk, F.least((F.col("part") + 1) * chunk, F.col("rows")) - 1)).alias("id")
     )
     rows = rows.withColumn("codes", F.array_repeat(F.lit(-1), len(attrs)))
+    widest = len(table) * max(domain.size(p) for p in combinations(attrs, 2))
     for step in range(len(attrs)):
         moves = walk.where(F.col("step") == step).select(*KEYS, "parent", "child")
-        here = cdfs.where(F.col("step") == step).select(*KEYS, "pcode", "cdf", "mass")
-        rows = rows.join(moves, KEYS)
+        here = bounded(cdfs.where(F.col("step") == step).select(*KEYS, "pcode", "cdf", "mass"), widest)
+        rows = rows.join(bounded(moves, len(table)), KEYS)
         pcode = F.when(F.col("parent") < 0, F.lit(-1)).otherwise(F.get("codes", F.col("parent")))
         rows = rows.withColumn("pcode", pcode).join(here, [*KEYS, "pcode"])
         code = pick(F.col("cdf"), F.col("mass"), H.uniform(f"{seed}/row/{step}", *KEYS, "id"))

@@ -13,7 +13,7 @@ from margrid.operators.factors import attrs_of
 from margrid.operators.fit import TreeModel, cumulative
 from margrid.operators.noise import interval_assign, round_counts
 from margrid.operators.ranking import hash_order_number, running_total
-from margrid.session import cut
+from margrid.session import bounded, cut
 
 
 def pick(cdf: Column, mass: Column, u: Column) -> Column:
@@ -22,14 +22,18 @@ def pick(cdf: Column, mass: Column, u: Column) -> Column:
     return F.coalesce(F.get(above, 0), F.element_at(cdf, -1))["key"]
 
 
-def draw_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child: str, seed: str, key: str = "id") -> DataFrame:
+def draw_child(
+    rows: DataFrame, table: DataFrame, parents: Sequence[str], child: str, seed: str, domain: Domain, key: str = "id"
+) -> DataFrame:
     """Add a column drawn from P(child | parents); ``table`` is (parents, child, value).
 
-    Parent codes without any mass fall back to the child's own distribution.
+    Parent codes without any mass fall back to the child's own distribution.  The table has at
+    most one cell per domain cell, so for bounded domains rows are not shuffled.
     """
     cdf = cumulative(table, parents, child, "value").where(F.col("mass") > 0)
     own = cumulative(table.groupBy(child).agg(F.sum("value").alias("value")), [], child, "value")
-    joined = rows.join(cdf, list(parents), "left") if parents else rows.withColumns(
+    cells = domain.size([*parents, child])
+    joined = rows.join(bounded(cdf, cells), list(parents), "left") if parents else rows.withColumns(
         {c: own.select(c).scalar() for c in ("cdf", "mass")}
     )
     if parents:
@@ -43,7 +47,9 @@ def draw_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child:
     return joined.withColumn(child, pick(F.col("cdf"), F.col("mass"), u)).drop("cdf", "mass")
 
 
-def deal_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child: str, seed: str, key: str = "id") -> DataFrame:
+def deal_child(
+    rows: DataFrame, table: DataFrame, parents: Sequence[str], child: str, seed: str, domain: Domain, key: str = "id"
+) -> DataFrame:
     """Add a column with rounded counts per parent group instead of independent draws.
 
     The rows of a parent group are numbered by hash order in pieces and take codes by the
@@ -68,7 +74,8 @@ def deal_child(rows: DataFrame, table: DataFrame, parents: Sequence[str], child:
     whole = round_counts(dense.select(*parents, child, "value", "want"), parents, child, "value", f"{seed}/{child}", "want")
     ends = cumulative(whole, parents, child, "rounded").drop("mass")
     numbered = hash_order_number(rows, parents, uniform(f"{seed}/deal/{child}", key), [key], "__rn")
-    joined = numbered.join(ends, parents) if parents else numbered.withColumn("cdf", ends.select("cdf").scalar())
+    cells = domain.size([*parents, child])
+    joined = numbered.join(bounded(ends, cells), parents) if parents else numbered.withColumn("cdf", ends.select("cdf").scalar())
     at = F.filter("cdf", lambda s: s["cum"] >= F.col("__rn"))
     code = F.coalesce(F.get(at, 0), F.element_at("cdf", -1))["key"]
     return joined.withColumn(child, code).drop("cdf", "__rn")
@@ -87,7 +94,7 @@ def sample_tree(
         waiting = [e for e in model.edges if set(e) <= set(group)]
         if not done & set(group):
             root = group[0]
-            rows = step(rows, model.one(root), [], root, seed)
+            rows = step(rows, model.one(root), [], root, seed, model.domain)
             done.add(root)
         while waiting:
             ready = [e for e in waiting if set(e) & done]
@@ -96,7 +103,7 @@ def sample_tree(
             if a in done and b in done:
                 continue
             parent, child = (a, b) if a in done else (b, a)
-            rows = step(rows, model.pair(a, b), [parent], child, seed)
+            rows = step(rows, model.pair(a, b), [parent], child, seed, model.domain)
             done.add(child)
     return rows.select("id", *model.domain.attrs)
 
@@ -132,7 +139,7 @@ def mixture_sample(
     table = cdf.groupBy("component").agg(
         F.map_from_entries(F.collect_list(F.struct("attr", F.struct("cdf", "mass")))).alias("m")
     )
-    rows = rows.join(table, "component")
+    rows = rows.join(bounded(table, components * sum(domain.sizes)), "component")
     draw = lambda a: pick(
         F.element_at("m", F.lit(a))["cdf"], F.element_at("m", F.lit(a))["mass"], uniform(f"{seed}/{a}", "id")
     )

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Tables of at most this many rows may be sent to every executor.
+BROADCAST_ROWS = 500_000
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -30,3 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder, so lost executors cost no replay."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a side for broadcast when its row bound, known from domain sizes, is small.
+
+    Beyond the bound the join is left to the optimizer, which shuffles and splits skewed keys.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
