@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    HALVES, ITM, ITEM_DOMAIN, ORD, ORDER_DOMAIN, axis_sql, gauss_sql, halves, items, n_rows, orders, query, rounded, table,
+    DOC, HALVES, ITM, ITEM_DOMAIN, ORD, ORDER_DOMAIN, axis_sql, docs, gauss_sql, halves, items, n_rows, orders, query, rounded, table,
 )
 from margrid.domain import Domain
 from margrid.operators import factors as K
@@ -77,16 +77,25 @@ def weighted_distribution(spark, sf):
 
 @query(
     "conditional_distribution",
-    f"""WITH {ORD}, s AS (SELECT * FROM ord WHERE price < 4 OR yr > 5), c AS (SELECT price, yr, prio, count(*) AS n FROM s GROUP BY ALL),
-    t AS (SELECT price, yr, count(*) AS t FROM s GROUP BY ALL),
-    g AS (SELECT * FROM (SELECT DISTINCT price FROM s), (SELECT DISTINCT yr FROM s), (SELECT DISTINCT prio FROM s))
-    SELECT g.price, g.yr, g.prio, CAST(coalesce(n, 0) AS DOUBLE) AS n, round(coalesce(n, 0) / CAST(t AS DOUBLE), 9) AS p
-    FROM g LEFT JOIN c USING (price, yr, prio) LEFT JOIN t USING (price, yr)""",
+    f"""WITH {DOC}, c AS (SELECT lang, source, quality, count(*) AS n FROM doc GROUP BY ALL),
+    t AS (SELECT lang, source, count(*) AS t FROM doc GROUP BY ALL),
+    g AS (SELECT * FROM (SELECT DISTINCT lang FROM doc), (SELECT DISTINCT source FROM doc), (SELECT DISTINCT quality FROM doc))
+    SELECT g.lang, g.source, g.quality, CAST(coalesce(n, 0) AS DOUBLE) AS n, round(coalesce(n, 0) / CAST(t AS DOUBLE), 9) AS p
+    FROM g LEFT JOIN c USING (lang, source, quality) LEFT JOIN t USING (lang, source)""",
 )
 def conditional_distribution(spark, sf):
-    """A price class that is missing in some years leaves combinations without rows."""
-    df = orders(spark, sf).where((F.col("price") < 4) | (F.col("yr") > 5))
-    return rounded(M.conditional_distribution(df, "prio", ["price", "yr"]), "p", digits=9)
+    """Labels are sparse, so some combinations of language, source and quality have no rows."""
+    return rounded(M.conditional_distribution(docs(spark, sf), "quality", ["lang", "source"]), "p", digits=9)
+
+
+@query(
+    "conditional_distribution_weighted",
+    f"""WITH {ITM}, c AS (SELECT flag, qty, status, sum(weight) AS n FROM itm GROUP BY ALL)
+    SELECT flag, qty, status, n, round(n / sum(n) OVER (PARTITION BY flag, qty), 9) AS p FROM c""",
+)
+def conditional_distribution_weighted(spark, sf):
+    out = M.conditional_distribution(items(spark, sf), "status", ["flag", "qty"], weight="weight", fill=False)
+    return rounded(out, "p", digits=9)
 
 
 def _rollup_sql(label: str, key: str) -> str:
@@ -358,29 +367,25 @@ def domain_grid(spark, sf):
     return M.observed_grid(table(spark, sf, "lineitem"), ["l_returnflag", "l_discount", "l_linenumber"])
 
 
-_SPARSE = f"{ORD}, sp AS (SELECT * FROM ord WHERE (status + prio + yr) % 3 = 0)"
-
-
-def _sparse(spark, sf):
-    return orders(spark, sf).where((F.col("status") + F.col("prio") + F.col("yr")) % 3 == 0)
+# two code values of the year have no orders
+_WIDE = Domain.of({"status": 3, "prio": 5, "yr": 9})
 
 
-@query("observed_cells", f"WITH {_SPARSE} SELECT DISTINCT status, prio, yr FROM sp")
+@query("observed_cells", f"WITH {ORD} SELECT DISTINCT status, prio, yr FROM ord")
 def observed_cells(spark, sf):
-    df = _sparse(spark, sf)
-    grid = M.domain_grid(spark, ORDER_DOMAIN, ["status", "prio", "yr"])
-    return M.observed_cells(grid.drop("cell"), df, ["status", "prio", "yr"])
+    grid = M.domain_grid(spark, _WIDE, _WIDE.attrs)
+    return M.observed_cells(grid.drop("cell"), orders(spark, sf), _WIDE.attrs)
 
 
 @query(
     "initial_distribution",
-    f"""WITH {_SPARSE}, c AS (SELECT status, prio, yr, count(*) AS n FROM sp GROUP BY ALL)
-    SELECT status, prio, yr, round(coalesce(n, 0) / CAST((SELECT count(*) FROM sp) AS DOUBLE), 9) AS p
-    FROM (SELECT * FROM {axis_sql(status=3, prio=5, yr=7)}) g LEFT JOIN c USING (status, prio, yr)""",
+    f"""WITH {ORD}, c AS (SELECT status, prio, yr, count(*) AS n FROM ord GROUP BY ALL)
+    SELECT status, prio, yr, round(coalesce(n, 0) / CAST((SELECT count(*) FROM ord) AS DOUBLE), 9) AS p
+    FROM (SELECT * FROM {axis_sql(status=3, prio=5, yr=9)}) g LEFT JOIN c USING (status, prio, yr)""",
 )
 def initial_distribution(spark, sf):
-    grid = M.domain_grid(spark, ORDER_DOMAIN, ["status", "prio", "yr"])
-    return rounded(M.initial_distribution(grid, _sparse(spark, sf), ["status", "prio", "yr"]), "p", digits=9)
+    grid = M.domain_grid(spark, _WIDE, _WIDE.attrs)
+    return rounded(M.initial_distribution(grid, orders(spark, sf), _WIDE.attrs), "p", digits=9)
 
 
 def _edges(spark, sf):

@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from catalog.base import HALVES, ITEM_DOMAIN, ORD, ORDER_DOMAIN, gauss_sql, halves, orders, query, rounded
+from catalog.base import HALVES, ITEM_DOMAIN, ORD, ORDER_DOMAIN, gauss_sql, halves, orders, query, rounded, table
 from catalog.counts import _pair_sql
 from margrid.operators import distance as D
 from margrid.operators import marginals as M
@@ -65,13 +65,13 @@ def mmd_rbf(spark, sf):
 
 @query(
     "cost_matrix",
-    f"""WITH {HALVES}, s AS (SELECT DISTINCT flag, status, qty, CAST(flag AS BIGINT) * 10 + status * 5 + qty AS cell FROM itm WHERE (flag + status + qty) % 2 = 0)
+    f"""WITH {HALVES}, s AS (SELECT DISTINCT flag, status, qty, CAST(flag AS BIGINT) * 10 + status * 5 + qty AS cell FROM itm)
     SELECT a.cell AS src, b.cell AS dst, round(sqrt(CAST((a.flag - b.flag) * (a.flag - b.flag) + (a.status - b.status) * (a.status - b.status)
       + (a.qty - b.qty) * (a.qty - b.qty) AS DOUBLE)), 9) AS cost FROM s a, s b""",
 )
 def cost_matrix(spark, sf):
     a, b = halves(spark, sf)
-    support = a.select(*COLS).union(b.select(*COLS)).distinct().where((F.col("flag") + F.col("status") + F.col("qty")) % 2 == 0)
+    support = a.select(*COLS).union(b.select(*COLS)).distinct()
     return rounded(D.cost_matrix(support, SUB), "cost", digits=9)
 
 
@@ -117,8 +117,6 @@ def wasserstein_prices(spark, sf):
     SELECT round(avg(abs(p - q)), 8) AS w1_heights FROM rp JOIN rq USING (k)""",
 )
 def wasserstein_heights(spark, sf):
-    from catalog.base import table
-
     e = table(spark, sf, "events")
     few = F.col("event_type").isin("view", "click")
     return rounded(D.wasserstein_heights(e.where(few), e.where(~few), "value", 20), "w1_heights", digits=8)

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    DOC, DOC_RULE, ITM, ITEM_RULE, ORD, ORDER_RULE, docs, items, orders, query, r, rounded,
+    DOC, DOC_RULE, ITM, ITEM_RULE, ORD, ORDER_RULE, docs, items, orders, query, r, rounded, table,
 )
 from margrid.domain import Constraint
 from margrid.operators import ci as C
@@ -206,8 +206,6 @@ def partial_spearman(spark, sf):
     "SELECT value, avg(rn) AS rank FROM (SELECT value, row_number() OVER (ORDER BY value) AS rn FROM events) GROUP BY value",
 )
 def average_ranks(spark, sf):
-    from catalog.base import table
-
     return C.average_ranks(table(spark, sf, "events"), "value")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from margrid.session import shuffle_width
 
 _SAMPLE_PER_PIECE = 16
+_MAX_PIECES = 1024
 
 
 def hash_order_number(
@@ -103,7 +104,8 @@ def running_total(
     start = (lambda c: F.coalesce(c, F.lit(0))) if how == "sum" else (lambda c: c)
     merge = (lambda a, b: a + b) if how == "sum" else F.greatest
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    bounds = piece_bounds(values, order, shuffle_width(values.sparkSession))
+    pieces = min(shuffle_width(values.sparkSession), _MAX_PIECES)
+    bounds = piece_bounds(values, order, pieces)
     if bounds is None:
         w = Window.orderBy(order)
         out = values.withColumn(name, start(fold(amount).over(upto(w))))
