@@ -186,16 +186,19 @@ def _people(spark, sf):
     )
 
 
-@query(
-    "pairwise_fairness",
-    f"""WITH {_PEOPLE}, num AS (SELECT *, row_number() OVER (ORDER BY {u_sql('pf/row', 'id')}, id) AS rn FROM ppl), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM ppl),
+_DRAWS = f"""{_PEOPLE}, num AS (SELECT *, row_number() OVER (ORDER BY {u_sql('pf/row', 'id')}, id) AS rn FROM ppl), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM ppl),
     d0 AS (SELECT CAST(floor({u_sql('pf/i', 'id')} * n) AS BIGINT) + 1 AS i, CAST(floor({u_sql('pf/j', 'id')} * (n - 1)) AS BIGINT) + 1 AS j0 FROM range(20000) r(id), c),
     d1 AS (SELECT i, CASE WHEN j0 >= i THEN j0 + 1 ELSE j0 END AS j FROM d0), d AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM d1),
     p AS (SELECT a.id AS key_a, b.id AS key_b, a.label <> b.label AND a.grp <> b.grp AS apart, abs(a.hours - b.hours) AS h, abs(a.age - b.age) AS g,
       CASE WHEN a.marital <> b.marital THEN 0.04 ELSE 0.0 END AS dm, abs(a.education - b.education) / CAST(8 AS DOUBLE) * 0.15 AS de, abs(a.occupation - b.occupation) / CAST(6 AS DOUBLE) * 0.2 AS dc
       FROM d JOIN num a ON d.i = a.rn JOIN num b ON d.j = b.rn),
     q AS (SELECT *, least(CASE WHEN h > 40 THEN (h - 40) * 3 + 20 * 2 + 20 WHEN h > 20 THEN (h - 20) * 2 + 20 ELSE h END, 98) / CAST(98 AS DOUBLE) * 0.1 AS dh,
-      CASE WHEN g > 10 THEN 1.0 ELSE g / CAST(73 AS DOUBLE) END * 0.15 AS da FROM p)
+      CASE WHEN g > 10 THEN 1.0 ELSE g / CAST(73 AS DOUBLE) END * 0.15 AS da FROM p)"""
+
+
+@query(
+    "pairwise_fairness",
+    f"""WITH {_DRAWS}
     SELECT key_a, key_b, round(sqrt(dm * dm + de * de + dc * dc + dh * dh + da * da), 8) AS distance,
       apart AND sqrt(dm * dm + de * de + dc * dc + dh * dh + da * da) < 0.12 AS violation FROM q""",
 )
@@ -203,9 +206,14 @@ def pairwise_fairness(spark, sf):
     return rounded(A.pairwise_fairness(_people(spark, sf), "id", "grp", "label", 20000, 0.12, "pf"), "distance", digits=8)
 
 
-@query("fairness_summary")
+@query(
+    "fairness_summary",
+    f"""WITH {_DRAWS}, d9 AS (SELECT sqrt(dm * dm + de * de + dc * dc + dh * dh + da * da) AS x, apart FROM q)
+    SELECT round(avg(CAST(apart AND x < 0.12 AS DOUBLE)), 8) AS rate, round(sum(CASE WHEN apart AND x < 0.12 THEN 0.12 - x ELSE 0 END), 6) AS severity FROM d9""",
+)
 def fairness_summary(spark, sf):
-    return A.fairness_summary(A.pairwise_fairness(_people(spark, sf), "id", "grp", "label", 20000, 0.12, "pf"), 0.12)
+    pairs = A.pairwise_fairness(_people(spark, sf), "id", "grp", "label", 20000, 0.12, "pf")
+    return rounded(rounded(A.fairness_summary(pairs, 0.12), "rate", digits=8), "severity")
 
 
 @query(

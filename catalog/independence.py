@@ -196,8 +196,23 @@ def permutation_test(spark, sf):
     return C.permutation_test(docs(spark, sf), DOC_RULE, 100, "perm")
 
 
-@query("partial_spearman")
+def _rank(col: str) -> str:
+    return f"(rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / CAST(2 AS DOUBLE))"
+
+
+@query(
+    "partial_spearman",
+    f"""WITH {ORD}, k AS (SELECT {_rank('price')} AS x, {_rank('prio')} AS y, {_rank('yr')} AS z FROM ord),
+    c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, CAST(count(*) AS DOUBLE) AS n FROM k)
+    SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 8) AS r, n - 3 AS dof FROM c""",
+)
 def partial_spearman(spark, sf):
+    out = C.partial_spearman(orders(spark, sf), Constraint.of("price", "prio", "yr"))
+    return rounded(out.select("r", "dof"), "r", digits=8)
+
+
+@query("partial_spearman_p_value")
+def partial_spearman_p_value(spark, sf):
     return C.partial_spearman(orders(spark, sf), Constraint.of("price", "prio", ["yr", "status"]))
 
 
@@ -209,8 +224,21 @@ def average_ranks(spark, sf):
     return C.average_ranks(table(spark, sf, "events"), "value")
 
 
-@query("pillai_residual_test")
+@query(
+    "pillai_residual_test",
+    f"""WITH {ITM}, p AS (SELECT qty, avg(CAST(flag = 0 AS DOUBLE)) AS p0, avg(CAST(flag = 1 AS DOUBLE)) AS p1, avg(CAST(status = 0 AS DOUBLE)) AS q0 FROM itm GROUP BY qty),
+    e AS (SELECT CAST(flag = 0 AS DOUBLE) - p0 AS a, CAST(flag = 1 AS DOUBLE) - p1 AS b, CAST(status = 0 AS DOUBLE) - q0 AS c FROM itm JOIN p USING (qty)),
+    m AS (SELECT covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(c, c) AS cc, CAST(count(*) AS DOUBLE) AS n FROM e),
+    t AS (SELECT (ac * ac * bb - 2 * ac * bc * ab + bc * bc * aa) / ((aa * bb - ab * ab) * cc) AS trace, n - 3 AS df2 FROM m)
+    SELECT round(trace, 11) AS trace, round((trace / 2) * (df2 / (1 - trace)), 6) AS f, CAST(2 AS DOUBLE) AS df1, df2 FROM t""",
+)
 def pillai_residual_test(spark, sf):
+    out = C.pillai_residual_test(items(spark, sf), ITEM_RULE, ["0", "1", "2"], ["0", "1"])
+    return rounded(rounded(out.select("trace", "f", "df1", "df2"), "trace", digits=11), "f")
+
+
+@query("pillai_p_value")
+def pillai_p_value(spark, sf):
     return C.pillai_residual_test(items(spark, sf), ITEM_RULE, ["0", "1", "2"], ["0", "1"])
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.base import ITM, ORD, ORDER_DOMAIN, docs, items, orders, query, rounded, table
+from catalog.base import ITM, ORD, ORDER_DOMAIN, docs, items, orders, query, rounded, table, u_sql
 from margrid.domain import Domain, validate_domain
 from margrid.operators.learn import train_score
 from margrid.operators.noise import stratified_kfold
@@ -160,7 +160,12 @@ def fold_summary(spark, sf):
     return rounded(R.fold_summary(res, ["price"]), "price_mean", "price_std", "price_pstd", digits=4)
 
 
-@query("random_dataset")
+@query(
+    "random_dataset",
+    "SELECT id, " + ", ".join(
+        f"CAST(floor({u_sql(f'random/{a}', 'id')} * {n}) AS INTEGER) AS {a}" for a, n in zip(ORDER_DOMAIN.attrs, ORDER_DOMAIN.sizes)
+    ) + " FROM (SELECT row_number() OVER () - 1 AS id FROM orders)",
+)
 def random_dataset(spark, sf):
     """As many uniform rows over the orders' domain as there are orders."""
     n = table(spark, sf, "orders").count()

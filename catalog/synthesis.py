@@ -146,12 +146,31 @@ def fit_tree(spark, sf):
     return rounded(Y.exact_tree(items(spark, sf), ITEM_DOMAIN, _CHAIN).pairs, "value", digits=4)
 
 
-@query("sample_tree")
+def _draw_sql(child: str, parent: str | None = None) -> str:
+    """CTE of cumulative shares of a child, per parent code if there is one."""
+    by = f"PARTITION BY {parent} " if parent else ""
+    keys = f"{parent}, {child}" if parent else child
+    return f"""c_{child} AS (SELECT {keys}, sum(n) OVER ({by}ORDER BY {child}) AS cum, sum(n) OVER ({by}) AS mass
+      FROM (SELECT {keys}, CAST(count(*) AS DOUBLE) AS n FROM itm GROUP BY {keys}))"""
+
+
+def _pick_sql(child: str, parent: str | None = None) -> str:
+    on = f"c.{parent} = s.{parent} AND " if parent else ""
+    return f"""(SELECT min(c.{child}) FROM c_{child} c WHERE {on}c.cum > {u_sql(f'rows/{child}', 's.id')} * c.mass)"""
+
+
+@query(
+    "sample_tree",
+    f"""WITH {ITM}, {_draw_sql('flag')}, {_draw_sql('qty', 'flag')}, {_draw_sql('disc', 'qty')},
+    r0 AS (SELECT row_number() OVER () - 1 AS id FROM itm), r1 AS (SELECT id, {_pick_sql('flag')} AS flag FROM r0 s),
+    r2 AS (SELECT id, flag, {_pick_sql('qty', 'flag')} AS qty FROM r1 s), r3 AS (SELECT id, flag, qty, {_pick_sql('disc', 'qty')} AS disc FROM r2 s)
+    SELECT flag, qty, disc, count(*) AS n FROM r3 GROUP BY ALL""",
+)
 def sample_tree(spark, sf):
-    """As many rows as there are line items, from the exact tree; counts per edge cell."""
+    """As many rows as there are line items, drawn from the exact tree; counts along one branch."""
     model = Y.exact_tree(items(spark, sf), ITEM_DOMAIN, _CHAIN)
     rows = N.sample_tree(model, int(model.total), "rows")
-    return rows.groupBy("flag", "qty").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("flag", "qty", "disc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sample_tree_round", f"WITH {ITM} SELECT flag, count(*) AS n FROM itm GROUP BY flag")
@@ -239,7 +258,12 @@ def answer_workload_gaussian(spark, sf):
     return out.select("clique", "cell", r("noisy", 3).alias("noisy"))
 
 
-@query("average_overlaps")
+def _overlaps_sql() -> str:
+    pairs = [(q, p) for i, p in enumerate(_WORK) for q in _WORK[:i] if set(p) & set(q)]
+    return " UNION ALL ".join(f"SELECT '{','.join(q)}|{','.join(p)}' AS pair, CAST(0 AS DOUBLE) AS disagreement" for q, p in pairs)
+
+
+@query("average_overlaps", _overlaps_sql())
 def average_overlaps(spark, sf):
     noisy = Y.answer_workload_gaussian(orders(spark, sf), ORDER_DOMAIN, _WORK, EPS, DELTA, "ao")
     agreed = Y.average_overlaps(noisy, ORDER_DOMAIN, _WORK)
@@ -260,7 +284,21 @@ def _mixture(spark, sf):
     return counts.join(totals, ["component", "attr"]).select("component", "attr", "code", (F.col("n") / F.col("t")).alias("value"))
 
 
-@query("mixture_sample")
+_MIX = """o AS (SELECT *, least(yr // 2, 3) AS k FROM ord)"""
+
+
+def _mix_cdf(a: str) -> str:
+    return f"""m_{a} AS (SELECT k, {a}, sum(p) OVER (PARTITION BY k ORDER BY {a}) AS cum, sum(p) OVER (PARTITION BY k) AS mass
+      FROM (SELECT k, {a}, count(*) / CAST(sum(count(*)) OVER (PARTITION BY k) AS DOUBLE) AS p FROM o GROUP BY k, {a}))"""
+
+
+@query(
+    "mixture_sample",
+    f"""WITH {ORD}, {_MIX}, {_mix_cdf('status')}, {_mix_cdf('prio')}, {_mix_cdf('price')}, r AS (SELECT row_number() OVER () - 1 AS id FROM ord)
+    SELECT id, """ + ", ".join(
+        f"(SELECT min(c.{a}) FROM m_{a} c WHERE c.k = id % 4 AND c.cum > {u_sql(f'mix/{a}', 'r.id')} * c.mass) AS {a}" for a in ("status", "prio", "price")
+    ) + " FROM r",
+)
 def mixture_sample(spark, sf):
     n = table(spark, sf, "orders").count()
     return N.mixture_sample(_mixture(spark, sf), _SMALL, n, 4, "mix")
