@@ -462,8 +462,9 @@ def partial_spearman(df: DataFrame, c: Constraint) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     cols = ["__x", "__y", *z]
+    base = cells
     for i, col in enumerate(cols):
-        counts = cells.groupBy(col).agg(F.sum("n").alias("m"))
+        counts = base.groupBy(col).agg(F.sum("n").alias("m"))
         ranked = running_total(counts, col, "m").select(
             col, (F.col("before") + (F.col("m") + 1) / 2.0).alias(f"r{i}")
         )

@@ -90,7 +90,13 @@ def factor_subtract(a: DataFrame, b: DataFrame, domain: Domain) -> DataFrame:
 
 
 def factor_divide(a: DataFrame, b: DataFrame, domain: Domain) -> DataFrame:
-    return _combine(a, b, domain, lambda x, y: x / y)
+    """Plain division: a zero divisor gives a signed infinity, or NaN over zero."""
+
+    def op(x: Column, y: Column) -> Column:
+        over_zero = F.when(x == 0, F.lit(float("nan"))).otherwise(x * F.lit(float("inf")))
+        return F.when(y != 0, x / y).otherwise(over_zero)
+
+    return _combine(a, b, domain, op)
 
 
 def factor_divide_guarded(a: DataFrame, b: DataFrame, domain: Domain) -> DataFrame:

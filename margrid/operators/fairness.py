@@ -220,8 +220,8 @@ def roc_points(df: DataFrame, label: str, score: str, thresholds: int = 1000) ->
     w = Window.orderBy(F.desc("slot"))  # at most `thresholds` rows
     rates = counts.select(
         "slot",
-        (F.sum("neg").over(w) / totals["neg"]).alias("fpr"),
-        (F.sum("pos").over(w) / totals["pos"]).alias("tpr"),
+        F.try_divide(F.sum("neg").over(w), totals["neg"]).alias("fpr"),
+        F.try_divide(F.sum("pos").over(w), totals["pos"]).alias("tpr"),
     )
     ends = df.sparkSession.range(1).select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     one = df.sparkSession.range(1).select(F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
@@ -400,8 +400,11 @@ def _first_rows(rows: DataFrame, attrs: Sequence[str], k: int) -> DataFrame:
     return kept.groupBy(*attrs).agg(F.collect_list(F.struct("__key", "__y")).alias("__rows"))
 
 
-def knn_consistency(df: DataFrame, domain: Domain, label: str, key: str, k: int = 5) -> DataFrame:
+def knn_consistency(
+    df: DataFrame, domain: Domain, label: str, key: str, k: int = 5, max_cells: int = 100_000
+) -> DataFrame:
     """1 - mean |y - mean y of the k nearest rows|; a row may be its own neighbour."""
+    domain.guard(max_cells=max_cells)
     near = neighbour_means(df, domain, label, key, k)
     counts = df.groupBy(*domain.attrs, F.col(label).cast("double").alias("__y")).agg(
         F.count(F.lit(1)).alias("n")

@@ -304,7 +304,7 @@ class TreeModel:
 
 def fit_tree(
     ones: DataFrame, pairs: DataFrame, edges: Sequence[tuple[str, str]], domain: Domain, total: float,
-    rounds: int = 10, spread: float = 1e-9,
+    rounds: int = 5, spread: float = 1e-9,
 ) -> TreeModel:
     """Consistent non-negative tree from noisy counts.
 
@@ -365,13 +365,19 @@ def fit_tree(
 
 
 def blend_ci(joint: DataFrame, x: Sequence[str], y: Sequence[str], z: Sequence[str], strength: float) -> DataFrame:
-    """Mix a joint table (attrs, value) with its conditionally independent projection."""
+    """Mix a joint table (attrs, value) with its conditionally independent projection.
+
+    The result covers the x by y grid of every z, which is the support of the projection.
+    """
+    if not z:
+        return blend_ci(joint.withColumn("__all", F.lit(0)), x, y, ["__all"], strength).drop("__all")
+    x, y, z = list(x), list(y), list(z)
     xz = joint.groupBy(*x, *z).agg(F.sum("value").alias("__xz"))
     yz = joint.groupBy(*y, *z).agg(F.sum("value").alias("__yz"))
     zz = joint.groupBy(*z).agg(F.sum("value").alias("__z"))
-    full = joint.join(xz, [*x, *z]).join(yz, [*y, *z]).join(zz, list(z))
+    full = xz.join(yz, z).join(zz, z).join(joint, [*x, *y, *z], "left")
     flat = F.when(F.col("__z") > 0, F.col("__xz") * F.col("__yz") / F.col("__z")).otherwise(0.0)
-    mixed = F.lit(1.0 - strength) * F.col("value") + F.lit(float(strength)) * flat
+    mixed = F.lit(1.0 - strength) * F.coalesce("value", F.lit(0.0)) + F.lit(float(strength)) * flat
     return full.select(*x, *y, *z, mixed.alias("value"))
 
 

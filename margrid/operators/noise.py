@@ -400,7 +400,7 @@ def inject_y_conditioned_noise(
     xs = dense_codes(df.select(x).distinct(), x, "__k").withColumnRenamed(x, "__x")
     ys = dense_codes(df.select(y).distinct(), y, "__i").withColumnRenamed(y, "__y")
     kx, ky = [t.select(F.count(F.lit(1))).scalar() for t in (xs, ys)]
-    peak = F.floor((F.lit(1.0) - F.col("__i") / (ky - 1)) * (kx - 1))
+    peak = F.floor((F.lit(1.0) - F.col("__i") / F.greatest(ky - 1, F.lit(1))) * (kx - 1))
     table = xs.agg(F.sort_array(F.collect_list(F.struct("__k", "__x"))).alias("t")).select("t").scalar()
     weight = lambda k: F.exp(-F.abs(k - F.col("__peak")) * F.lit(float(strength)))
     weights = ys.withColumn("__peak", peak).withColumn("__t", table).withColumn(

@@ -19,6 +19,8 @@ def ci_projection(df: DataFrame, c: Constraint, weight: str | None = None) -> Da
     A rank-one fit of a stratum under KL loss has this closed form.  The x and y sides meet on
     the stratum; the result itself is that grid.
     """
+    if not c.z:
+        return ci_projection(df.withColumn("__all", F.lit(0)), Constraint.of(c.x, c.y, "__all"), weight).drop("__all")
     n = F.count(F.lit(1)).cast("double") if weight is None else F.sum(F.col(weight).cast("double"))
     cells = df.dropna(subset=list(c.columns)).groupBy(*c.columns).agg(n.alias("n"))
     z = list(c.z)

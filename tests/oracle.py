@@ -77,7 +77,7 @@ def session(cpus: str = "8"):
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("margrid")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE", "8"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
