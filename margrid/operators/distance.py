@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from margrid.domain import MAX_CELLS, Domain
-from margrid.operators.encode import quantile_array
+from margrid.operators.encode import quantile_edges
 from margrid.operators.marginals import clique_marginals, clique_name, domain_grid
 from margrid.operators.ranking import running_total
 from margrid.session import cut
@@ -167,21 +167,21 @@ def sinkhorn(
 def wasserstein_1d(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     """First Wasserstein distance of each numeric column: integral of |F - G|.
 
-    Values are counted on both sides, running totals give F and G at every distinct value, and
-    the gap to the next value is the width.
+    Both tables are unpivoted and counted per (column, value) in one pass; running totals give
+    F and G at every distinct value, and the gap to the next value is the width.
     """
-    out = None
-    for c in cols:
-        left = distribution(a.select(F.col(c).cast("double").alias("v")), ["v"], "p")
-        right = distribution(b.select(F.col(c).cast("double").alias("v")), ["v"], "q")
-        gaps = paired(left, right, ["v"]).withColumn("d", F.col("p") - F.col("q"))
-        run = running_total(gaps, "v", "d", "before", follow="next")
-        width = F.coalesce(F.col("next") - F.col("v"), F.lit(0.0))
-        row = run.agg(F.sum(F.abs(F.col("before") + F.col("d")) * width).alias("w1")).select(
-            F.lit(c).alias("attr"), "w1"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("attr"), F.col(c).cast("double").alias("v")) for c in cols])
+        long = df.select(F.explode(cells).alias("m")).where(F.col("m.v").isNotNull())
+        counts = long.groupBy("m.attr", "m.v").agg(F.count(F.lit(1)).alias("__n"))
+        totals = counts.groupBy("attr").agg(F.sum("__n").alias("__t"))
+        return counts.join(totals, "attr").select("attr", "v", (F.col("__n") / F.col("__t")).alias(name))
+
+    gaps = paired(counted(a, "p"), counted(b, "q"), ["attr", "v"])
+    gaps = gaps.select("attr", "v", (F.col("p") - F.col("q")).alias("d"))
+    run = running_total(gaps, "v", "d", "before", follow="next", by=["attr"])
+    width = F.coalesce(F.col("next") - F.col("v"), F.lit(0.0))
+    return run.groupBy("attr").agg(F.sum(F.abs(F.col("before") + F.col("d")) * width).alias("w1"))
 
 
 def wasserstein_heights(a: DataFrame, b: DataFrame, col: str, bins: int = 100) -> DataFrame:
@@ -190,21 +190,16 @@ def wasserstein_heights(a: DataFrame, b: DataFrame, col: str, bins: int = 100) -
     Edges are the quantiles of both tables together; empty-width bins are left out, which is
     where the plain histogram would divide by zero.
     """
-    both = a.select(F.col(col).cast("double").alias("v")).unionByName(
-        b.select(F.col(col).cast("double").alias("v"))
-    )
-    row = quantile_array(both, "v", [i / bins for i in range(bins + 1)])
-    edges = row.select(F.array_distinct("q")).scalar()
+    value = lambda df: df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    edges = quantile_edges(value(a).unionByName(value(b)), "v", bins)
+    literal = F.array(*[F.lit(e) for e in edges])
 
     def heights(df: DataFrame, name: str) -> DataFrame:
-        v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-        counts = v.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("e", edges)
-        slot = F.least(F.size(F.filter("e", lambda x: x <= F.col("v"))), F.size("e") - 1)
-        binned = counts.select(slot.alias("slot"), "n", "e").groupBy("slot").agg(
-            F.sum("n").alias("n"), F.first("e").alias("e")
-        )
+        counts = value(df).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        slot = F.least(F.size(F.filter(literal, lambda x: x <= F.col("v"))), F.lit(len(edges) - 1))
+        binned = counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
         total = counts.select(F.sum("n")).scalar()
-        width = F.element_at("e", F.col("slot") + 1) - F.element_at("e", F.col("slot"))
+        width = F.element_at(literal, F.col("slot") + 1) - F.element_at(literal, F.col("slot"))
         return binned.select("slot", (F.col("n") / total / width).alias(name))
 
     # at most `bins` rows on each side from here on

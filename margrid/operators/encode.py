@@ -181,18 +181,20 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFram
     return row.select(*[F.get("q", i).alias(f"q{i}") for i in range(len(probs))])
 
 
+def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
+    """Distinct quantile edges of a column on the driver: at most q+1 numbers."""
+    found = quantile_array(df, col, [i / q for i in range(q + 1)]).first()["q"]
+    return sorted({v for v in found or [] if v is not None})
+
+
 def quantile_bin(df: DataFrame, cols: Sequence[str], q: int = 5) -> DataFrame:
     """Bin number by exact quantile edges, right-closed, equal edges merged."""
-    out = df
+    out = {}
     for c in cols:
-        quantiles = quantile_array(df, c, [i / q for i in range(q + 1)])
-        out = out.withColumn("__q", quantiles.scalar())
-        edge = [F.get("__q", i) for i in range(q + 1)]
-        above = [
-            ((edge[i] > edge[i - 1]) & (edge[i] < F.col(c))).cast("int") for i in range(1, q)
-        ]
-        out = out.withColumn(c, sum(above, F.lit(0))).drop("__q")
-    return out
+        inner = quantile_edges(df, c, q)[1:-1]
+        above = [(F.lit(e) < F.col(c)).cast("int") for e in inner]
+        out[c] = sum(above, F.when(F.col(c).isNotNull(), F.lit(0)))
+    return df.withColumns(out)
 
 
 def equal_width_bin_mean(df: DataFrame, col: str, n: int, whole: bool = False) -> DataFrame:

@@ -173,23 +173,31 @@ def equalized_odds(df: DataFrame, label: str, pred: str, group: str) -> DataFram
     return gaps.agg(F.max("gap").alias("gap"))
 
 
-def auc_rank(df: DataFrame, score: str, hit: Column) -> DataFrame:
-    """Mann-Whitney AUC with ties counted half: one row (n_pos, n_neg, auc), 0 if a class is empty.
+def auc_table(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mann-Whitney AUC per key with ties counted half: (by, n_pos, n_neg, auc), 0 if a class is empty.
 
-    Scores are counted per distinct value; the running count of negatives below each value is
-    all the ranking that is needed.
+    ``rows`` is (by, s, hit).  Scores are counted per distinct value; the running count of
+    negatives below each value is all the ranking that is needed.
     """
-    t = df.groupBy(F.col(score).alias("s")).agg(
-        F.sum(hit.cast("double")).alias("pos"), F.sum((~hit).cast("double")).alias("neg")
+    by = list(by)
+    t = rows.groupBy(*by, "s").agg(
+        F.sum(F.col("hit").cast("double")).alias("pos"), F.sum((~F.col("hit")).cast("double")).alias("neg")
     )
-    ranked = running_total(t, "s", "neg", "below")
-    out = ranked.agg(
+    ranked = running_total(t, "s", "neg", "below", by=by)
+    out = ranked.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("won"),
     )
     pairs = F.col("n_pos") * F.col("n_neg")
-    return out.select("n_pos", "n_neg", F.when(pairs > 0, F.col("won") / pairs).otherwise(0.0).alias("auc"))
+    return out.select(
+        *by, "n_pos", "n_neg", F.when(pairs > 0, F.col("won") / pairs).otherwise(0.0).alias("auc")
+    )
+
+
+def auc_rank(df: DataFrame, score: str, hit: Column) -> DataFrame:
+    """AUC of one score column for one class."""
+    return auc_table(df.select(F.col(score).cast("double").alias("s"), hit.alias("hit")))
 
 
 def auc_binary(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -198,10 +206,17 @@ def auc_binary(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def auc_weighted_ovr(df: DataFrame, label: str, scores: dict) -> DataFrame:
     """Support-weighted one-vs-rest AUC; ``scores`` maps each class to its score column."""
-    out = None
-    for value, col in scores.items():
-        row = auc_rank(df, col, F.col(label) == value)
-        out = row if out is None else out.unionByName(row)
+    members = F.array(
+        *[
+            F.struct(
+                F.lit(str(value)).alias("cls"),
+                F.col(col).cast("double").alias("s"),
+                (F.col(label) == value).alias("hit"),
+            )
+            for value, col in scores.items()
+        ]
+    )
+    out = auc_table(df.select(F.explode(members).alias("m")).select("m.*"), ["cls"])
     return out.agg((F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("auc"))
 
 

@@ -22,6 +22,7 @@ from margrid.operators.ranking import (
     key_order_number,
     running_total,
 )
+from margrid.session import bounded, shuffle_width
 
 # ---------------------------------------------------------------- measurements
 
@@ -248,13 +249,16 @@ def budget_ledger(
 
 
 def interval_assign(
-    rows: DataFrame, u: str, cells: DataFrame, lo: str, hi: str, buckets: int
+    rows: DataFrame, u: str, cells: DataFrame, lo: str, hi: str, buckets: int, cells_bound: int | None = None
 ) -> DataFrame:
     """Join each row to the one cell whose [lo, hi) holds its u in [0, 1).
 
     Cells are laid over ``buckets`` equal slices of the unit interval and rows meet them by
-    slice number; a heavy cell covers many slices, so its rows spread over many keys.
+    slice number; a heavy cell covers many slices, so its rows spread over many keys.  A known
+    bound on the number of cells (each cell and slice adds at most one row) lets a small table
+    be broadcast; otherwise there are at least four slices per shuffle partition.
     """
+    buckets = max(buckets, 4 * shuffle_width(rows.sparkSession))
     last = buckets - 1
     slot = lambda c: F.least(F.floor(F.col(c) * F.lit(buckets)), F.lit(last))
     covered = cells.where(F.col(hi) > F.col(lo)).withColumn(
@@ -262,6 +266,8 @@ def interval_assign(
     )
     keyed = rows.withColumn("__slot", slot(u))
     hit = (F.col(u) >= F.col(lo)) & (F.col(u) < F.col(hi))
+    if cells_bound is not None:
+        covered = bounded(covered, cells_bound + buckets)
     return keyed.join(covered, "__slot").where(hit).drop("__slot")
 
 

@@ -55,19 +55,15 @@ def hash_order_number(
     )
 
 
-def piece_bounds(values: DataFrame, col: str, pieces: int) -> list | None:
-    """Up to pieces-1 split points of a column of distinct values, or None for a short column.
+def piece_bounds(values: DataFrame, col: str, pieces: int, by: Sequence[str] = ()) -> list | None:
+    """Up to pieces-1 split points of a column of distinct values, or None for a short table.
 
-    The sample is the fixed number of values with the smallest hashes, so what reaches the
-    driver is bounded whatever the size of the column.
+    The sample is the fixed number of rows with the smallest key hashes, so what reaches the
+    driver is bounded whatever the size of the table.
     """
     want = pieces * _SAMPLE_PER_PIECE
-    taken = (
-        values.select(col, F.md5(F.col(col).cast("string")).alias("__h"))
-        .orderBy("__h")
-        .limit(want)
-        .collect()
-    )
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, col)])
+    taken = values.select(col, F.md5(text).alias("__h")).orderBy("__h").limit(want).collect()
     if len(taken) < want:
         return None
     ordered = sorted(r[0] for r in taken if r[0] is not None)
@@ -93,38 +89,41 @@ def running_total(
     name: str = "before",
     follow: str | None = None,
     how: str = "sum",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Sum (0 at the start) or maximum (NULL at the start) of ``amount`` over smaller ``order`` values.
 
-    Distinct order values are expected.  With ``follow`` the next order value is added under
-    that name.  A short table is one small window; a long one is range-cut at sampled split
-    points and offset piece by piece.
+    Order values are distinct inside each ``by`` group.  With ``follow`` the next order value of
+    the group is added under that name.  A short table is one small window; a long one is
+    range-cut at sampled split points and offset piece by piece.
     """
+    by = list(by)
     fold = {"sum": F.sum, "max": F.max}[how]
     start = (lambda c: F.coalesce(c, F.lit(0))) if how == "sum" else (lambda c: c)
     merge = (lambda a, b: a + b) if how == "sum" else F.greatest
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     pieces = min(shuffle_width(values.sparkSession), _MAX_PIECES)
-    bounds = piece_bounds(values, order, pieces)
+    bounds = piece_bounds(values, order, pieces, by)
     if bounds is None:
-        w = Window.orderBy(order)
+        w = Window.partitionBy(*by).orderBy(order)
         out = values.withColumn(name, start(fold(amount).over(upto(w))))
         return out.withColumn(follow, F.lead(order).over(w)) if follow else out
     rows = values.withColumn("__piece", piece_of(order, bounds, dict(values.dtypes)[order]))
-    w = Window.partitionBy("__piece").orderBy(order)
+    w = Window.partitionBy(*by, "__piece").orderBy(order)
     rows = rows.withColumn("__in", start(fold(amount).over(upto(w))))
     if follow:
         rows = rows.withColumn(follow, F.lead(order).over(w))
-    totals = rows.groupBy("__piece").agg(
+    totals = rows.groupBy(*by, "__piece").agg(
         fold(amount).alias("__sum"), F.min(order).alias("__first")
     )
-    across = Window.orderBy("__piece")
+    across = Window.partitionBy(*by).orderBy("__piece")  # at most one row per piece
     offsets = totals.select(
-        F.col("__piece").alias("__p"),
+        *by,
+        "__piece",
         start(fold("__sum").over(upto(across))).alias("__before"),
         F.lead("__first").over(across).alias("__next"),
     )
-    out = rows.join(offsets, rows["__piece"] == offsets["__p"]).withColumn(
+    out = rows.join(offsets, [*by, "__piece"]).withColumn(
         name, merge(F.col("__before"), F.col("__in"))
     )
     if follow:

@@ -120,7 +120,7 @@ def sample_table(
     hi = F.when(F.col("__cell") == top, F.lit(1.0)).otherwise((F.col("__before") + F.col("value")) / mass)
     spans = cum.withColumn("__lo", F.col("__before") / mass).withColumn("__hi", hi)
     rows = table.sparkSession.range(n).withColumn("__u", uniform(f"{seed}/cell", "id"))
-    drawn = interval_assign(rows, "__u", spans, "__lo", "__hi", buckets)
+    drawn = interval_assign(rows, "__u", spans, "__lo", "__hi", buckets, domain.size(attrs))
     return drawn.select("id", *attrs)
 
 
