@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from margrid.functions.hashing import uniform
 from margrid.operators.ranking import dense_codes, hash_order_number, running_total
+from margrid.session import cut
 
 # Spellings read as missing, and columns that leak the bar-passage label.
 MISSING_TOKENS = ["unknown", "Unknown", "NA", "na", "NaN", ""]
@@ -151,16 +153,15 @@ def quantile_array(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame
     Values are counted, their running total gives each value its rank range, and each value
     emits the wanted ranks it holds: nothing larger than a value count is moved.
     """
-    counts = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(F.col(col).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = _value_counts(df, col)
     last = counts.select((F.sum("n") - 1).cast("double")).scalar()
     wanted = F.array(
-        *[F.struct(F.lit(i).alias("i"), (last * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)]
+        *[
+            F.struct(F.lit(i).alias("i"), (F.col("last") * F.lit(float(p))).alias("at"))
+            for i, p in enumerate(probs)
+        ]
     )
-    ranked = running_total(counts, "v", "n").withColumn("wanted", wanted)
+    ranked = running_total(counts, "v", "n").withColumn("last", last).withColumn("wanted", wanted)
     held = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
     inside = F.filter("wanted", lambda s: held(F.floor(s["at"])) | held(F.ceil(s["at"])))
     hits = ranked.select("v", "before", "n", F.explode(inside).alias("w"))
@@ -181,10 +182,28 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFram
     return row.select(*[F.get("q", i).alias(f"q{i}") for i in range(len(probs))])
 
 
+def _value_counts(df: DataFrame, col: str) -> DataFrame:
+    values = df.where(F.col(col).isNotNull())
+    return values.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
-    """Distinct quantile edges of a column on the driver: at most q+1 numbers."""
-    found = quantile_array(df, col, [i / q for i in range(q + 1)]).first()["q"]
-    return sorted({v for v in found or [] if v is not None})
+    """Distinct quantile edges of a column on the driver: at most q+1 numbers.
+
+    The value counts are written once; the ranks wanted are then plain numbers, and only the
+    values that hold one of them (at most two per edge) come back.
+    """
+    counts = cut(_value_counts(df, col))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return []
+    places = [(total - 1) * (i / q) for i in range(q + 1)]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    held = [(F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n")) for r in ranks]
+    hits = running_total(counts, "v", "n").where(reduce(lambda x, y: x | y, held)).collect()
+    value = {r: h["v"] for h in hits for r in ranks if h["before"] <= r < h["before"] + h["n"]}
+    low, high = [value[math.floor(p)] for p in places], [value[math.ceil(p)] for p in places]
+    return sorted({a + (b - a) * (p - math.floor(p)) for a, b, p in zip(low, high, places)})
 
 
 def quantile_bin(df: DataFrame, cols: Sequence[str], q: int = 5) -> DataFrame:
