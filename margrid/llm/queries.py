@@ -87,10 +87,10 @@ WITH RECURSIVE w AS (SELECT doc_id, {_TOKENS.format(text='text')} AS t FROM docu
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) = 1 THEN [t[1]]
         ELSE [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
           GROUP BY 1, 2),
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-          WHERE 100 * both >= 80 * (x.n + y.n - both)),
+          WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
