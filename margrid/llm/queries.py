@@ -12,6 +12,7 @@ from margrid.llm.common import table
 from margrid.llm.decontaminate import decontaminate
 from margrid.llm.embed_dedup import embedding_duplicates
 from margrid.llm.html_text import extract_text
+from margrid.llm.katz import score_texts
 from margrid.llm.license_scan import scan_licenses
 from margrid.llm.near_dup import near_duplicates
 from margrid.llm.packing import pack
@@ -46,6 +47,10 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op7_katz(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -66,7 +71,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_packing, op3_minhash, op4_html_text, op5_token_counts, op6_toxicity,
+        op1_license_scan, op2_packing, op3_minhash, op4_html_text, op5_token_counts, op6_toxicity, op7_katz,
         op8_decontamination, op9_sharding, op10_embedding_dedup, pipeline,
     )
 }
