@@ -28,8 +28,8 @@ from margrid.llm.common import in_tasks, mix, slices, stored, word_hashes
 KATZ = 5
 # Words of this share of all are hot histories (at most 1 / HOT of them), and tokens of a part.
 HOT = 0.002
-PART_TOKENS = 4_000_000
-CHUNK = 16 << 20
+PART_TOKENS = 2_500_000
+CHUNK = 8 << 20
 
 _START, _END = np.uint64(1), np.uint64(2)
 _PARTS = "part long, chunk long, row binary"
@@ -411,7 +411,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     found = often.where((F.col("word") != 0) & (F.col("n") >= tokens * HOT)).orderBy("word").collect()
     hot = np.array([_START, *(np.uint64(r["word"] & (2**64 - 1)) for r in found if r["word"] != int(_END))], np.uint64)
     parts = max(1, -(-tokens // PART_TOKENS))
-    word_parts = max(1, parts // 4)
+    word_parts = max(1, parts // 2)
 
     asked = in_tasks(rows, _requests(hot, parts, word_parts), _PARTS)
     counted = stored(asked.groupBy("part").applyInArrow(_count_words(parts), _PARTS))
