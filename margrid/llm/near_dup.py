@@ -200,10 +200,8 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             pairs = stored(pairs)
             seen = pairs
         else:
-            fresh = pairs.join(seen, ["a", "b"], "left_anti").join(
-                seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
-            )
-            pairs = stored(fresh)
+            either = seen.union(seen.select("b", "a"))
+            pairs = stored(pairs.join(either, ["a", "b"], "left_anti"))
             seen = seen.union(pairs)
         if pairs.isEmpty():
             if turn == 0:
