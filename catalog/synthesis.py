@@ -246,7 +246,7 @@ def adagrid_targets(spark, sf):
 
 
 _WORK = list(combinations(ORDER_DOMAIN.attrs, 2))
-_ANSWER_SD = (0.5 / G.cdp_rho(EPS, DELTA)) ** 0.5 * len(_WORK) ** 0.5
+_ANSWER_SD = (0.5 / G.zcdp_rho(EPS, DELTA)) ** 0.5 * len(_WORK) ** 0.5
 
 
 @query(

@@ -142,12 +142,14 @@ def group_table(state: DataFrame, domain: Domain, group: Sequence[str]) -> DataF
 
 def reweight_public(
     public: DataFrame, domain: Domain, measured: DataFrame, cliques: Sequence[Sequence[str]], total: float,
-    rounds: int = 20,
+    rounds: int = 20, gain: float = 1e-6,
 ) -> DataFrame:
     """Weights on the distinct cells of a public table so that its marginals match noisy ones.
 
-    Entropic mirror descent with an Armijo test; equal rows share a weight, so cells are
-    iterated and each step reads two numbers on the driver.  ``measured`` is
+    Entropic mirror descent; equal rows share a weight, so cells are iterated.  A step is kept when the
+    loss lies under its linear model plus the relative entropy between the weights over the step size,
+    else it is taken again with a quarter of the size.  The fit ends when a step gains less than ``gain``
+    of the loss, or after ``rounds``.  ``measured`` is
     (clique, cell, noisy, stddev); the result adds ``weight`` (of the cell) and ``row_weight``.
     """
     attrs = list(domain.attrs)
@@ -183,21 +185,25 @@ def reweight_public(
         return cut(grad), loss
 
     state, loss = gradient(scaled(cells))
-    alpha, settled = 1.0, False
+    size = 1.0
     for _ in range(rounds):
-        step = state.withColumn("logw", F.col("logw") - F.lit(alpha) * F.col("__g"))
-        trial, trial_loss = gradient(scaled(step.select(*attrs, "n", "logw")))
-        drop = (
-            state.select(*attrs, "__g", F.col("__w").alias("__w0"))
-            .join(trial.select(*attrs, "__w"), attrs)
-            .agg(F.sum(F.col("__g") * (F.col("__w0") - F.col("__w"))).alias("s"))
-            .first()["s"]
-        )
-        if loss - trial_loss >= 0.5 * alpha * drop:
-            state, loss = trial, trial_loss
-            alpha = alpha if settled else 2 * alpha
+        before = state.select(*attrs, "__g", F.col("__w").alias("__w0"))
+        for _ in range(30):
+            moved = state.withColumn("logw", F.col("logw") - F.lit(size) * F.col("__g"))
+            trial, trial_loss = gradient(scaled(moved.select(*attrs, "n", "logw")))
+            model = before.join(trial.select(*attrs, "__w"), attrs).agg(
+                F.sum(F.col("__g") * (F.col("__w") - F.col("__w0"))).alias("linear"),
+                F.sum(F.col("__w") * F.log(F.col("__w") / F.col("__w0")) - F.col("__w") + F.col("__w0")).alias("apart"),
+            ).first()
+            if trial_loss <= loss + model["linear"] + model["apart"] / size:
+                break
+            size /= 4
         else:
-            alpha, settled = alpha / 2, True
+            break
+        won, state, loss = loss - trial_loss, trial, trial_loss
+        if won <= gain * loss:
+            break
+        size *= 2
     return state.select(
         *attrs, "n", F.col("__w").alias("weight"), (F.col("__w") / F.col("n")).alias("row_weight")
     )

@@ -13,7 +13,7 @@ from margrid.domain import Domain
 from margrid.functions import hashing as H
 from margrid.operators import select as S
 from margrid.operators.fit import cumulative
-from margrid.operators.noise import cdp_rho
+from margrid.operators.noise import zcdp_rho
 from margrid.plans.sampling import pick
 from margrid.session import bounded, cut, shuffle_width
 
@@ -52,7 +52,7 @@ def run_grid(
     seed = H.fresh_seed(seed)
     spark = df.sparkSession
     attrs = list(domain.attrs)
-    budgets = [(f"{e:g}", cdp_rho(e, delta)) for e in epsilons]
+    budgets = [(f"{e:g}", zcdp_rho(e, delta)) for e in epsilons]
     sigma = F.create_map(*[F.lit(v) for e, r in budgets for v in (e, math.sqrt(3.0 / (2.0 * r)))])
     eps_col = F.explode(F.array(*[F.lit(e) for e, _ in budgets])).alias("eps")
     pairs = cut(_keyed_pairs(training_folds(df, folds, fold), domain))

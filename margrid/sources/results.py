@@ -35,15 +35,20 @@ def results_skeleton(
     return keys.join(have, KEYS, "left_anti")
 
 
-def upsert_metric(existing: DataFrame, updates: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def upsert_metric(
+    existing: DataFrame, updates: DataFrame, metrics: Sequence[str], order: str | None = None
+) -> DataFrame:
     """Set metrics by key: updates are (method_name, fold_num, epsilon, metric, value).
 
-    Later values win per metric; rows and columns that do not exist yet are made, other cells
+    Among several updates of one metric of a key the one with the greatest ``order`` column wins, and
+    without such a column the greatest value; rows and columns that do not exist yet are made, other cells
     stay.  One full outer join on the key, whatever the number of metrics.
     """
     latest = updates.withColumn("epsilon", epsilon_key("epsilon"))
     wide = latest.groupBy(*KEYS).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"__{m}") for m in metrics]
+        *[
+            F.max_by("value", F.when(F.col("metric") == m, F.col(order or "value"))).alias(f"__{m}") for m in metrics
+        ]
     )
     old = existing.withColumn("epsilon", epsilon_key("epsilon"))
     joined = old.join(wide, KEYS, "full_outer")

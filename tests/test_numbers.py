@@ -9,23 +9,23 @@ from pyspark.sql import functions as F
 from margrid.functions import hashing as H
 from margrid.functions.tails import chi2_sf, f_sf, normal_two_sided, t_two_sided
 from margrid.operators.ci import _hypergeometric
-from margrid.operators.noise import cdp_delta, cdp_eps, cdp_rho, clique_weights, laplace_scale
+from margrid.operators.noise import zcdp_delta, zcdp_epsilon, zcdp_rho, clique_weights, laplace_scale
 
 
 @pytest.mark.parametrize("eps", [0.1, 0.5, 1.0, 5.0, 10.0])
 def test_budget_conversions_invert(eps):
-    rho = cdp_rho(eps, 1e-9)
+    rho = zcdp_rho(eps, 1e-9)
     assert 0 < rho < eps
-    assert cdp_delta(rho, eps) == pytest.approx(1e-9, rel=1e-6)
-    assert cdp_eps(rho, 1e-9) == pytest.approx(eps, rel=1e-6)
+    assert zcdp_delta(rho, eps) == pytest.approx(1e-9, rel=1e-6)
+    assert zcdp_epsilon(rho, 1e-9) == pytest.approx(eps, rel=1e-6)
 
 
 def test_budget_edges():
-    assert cdp_rho(1.0, 1.0) == 0.0
-    assert cdp_delta(0, 1.0) == 0.0
-    assert cdp_eps(0, 1e-9) == 0.0
+    assert zcdp_rho(1.0, 1.0) == 0.0
+    assert zcdp_delta(0, 1.0) == 0.0
+    assert zcdp_epsilon(0, 1e-9) == 0.0
     # the optimised bound is never worse than the plain tail bound
-    assert cdp_delta(0.1, 1.0) <= math.exp(-((1.0 - 0.1) ** 2) / 0.4)
+    assert zcdp_delta(0.1, 1.0) <= math.exp(-((1.0 - 0.1) ** 2) / 0.4)
 
 
 def test_scales():

@@ -275,7 +275,7 @@ def test_scaling_round_trip(spark, sf):
 
 def test_release_spends_its_budget(spark, sf):
     release = Y.tree_release(orders(spark, sf), ORDER_DOMAIN, 1.0, 1e-9, "t")
-    assert release.rho == pytest.approx(G.cdp_rho(1.0, 1e-9))
+    assert release.rho == pytest.approx(G.zcdp_rho(1.0, 1e-9))
     assert len(release.model.edges) == len(ORDER_DOMAIN.attrs) - 1
 
 

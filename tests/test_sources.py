@@ -118,3 +118,12 @@ def test_pair_scores_of_independent_columns(spark):
     d = Domain.of({"a": 3, "b": 2})
     ones = S.single_counts(df, d).withColumnRenamed("n", "value")
     assert S.pair_scores(S.pair_counts(df, d), ones).first()["score"] == pytest.approx(0, abs=1e-9)
+
+
+def test_upsert_takes_the_last_by_order(spark):
+    old = spark.createDataFrame([("m", 0, "1", 0.5)], "method_name string, fold_num int, epsilon string, CMI double")
+    new = spark.createDataFrame(
+        [("m", 0, "1", "CMI", 0.9, 1), ("m", 0, "1", "CMI", 0.2, 2)],
+        "method_name string, fold_num int, epsilon string, metric string, value double, seq int",
+    )
+    assert Q.upsert_metric(old, new, ["CMI"], order="seq").first()["CMI"] == 0.2
