@@ -8,11 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from margrid.domain import MAX_CELLS, Domain
+from margrid.domain import Domain
 from margrid.operators.encode import quantile_edges
 from margrid.operators.marginals import clique_marginals, clique_name, domain_grid
 from margrid.operators.ranking import running_total
-from margrid.session import cut
+from margrid.session import bounded, cut
 
 SMOOTH = 1e-12
 
@@ -62,19 +62,24 @@ def kl_generalized(pq: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- kernels and costs
 
 
-def mmd_rbf(pq: DataFrame, domain: Domain, gamma: float = 1.0, max_cells: int = MAX_CELLS) -> DataFrame:
+def mmd_rbf(pq: DataFrame, domain: Domain, gamma: float = 1.0) -> DataFrame:
     """sqrt(max(d'Kd, 0)) for d = p - q and K = exp(-gamma |x - y|^2).
 
     The kernel of a squared distance is a product over attributes, so Kd is one small blur per
     attribute (each cell reaches the codes of that attribute only); cells are never paired.
+    Blurred codes are kept only where an observed cell begins with them, so the work follows
+    the support and domains of any size are taken.
     """
-    domain.guard(max_cells=max_cells)
     d = pq.select(*domain.attrs, (F.col("p") - F.col("q")).alias("value"))
     blurred = d
-    for attr in domain.attrs:
+    for i, attr in enumerate(domain.attrs):
         others = [a for a in domain.attrs if a != attr]
+        begin = list(domain.attrs[:i])
         codes = F.sequence(F.lit(0), F.lit(domain[attr] - 1))
-        spread = blurred.withColumn("__to", F.explode(codes))
+        seen = d.select(*begin, F.col(attr).alias("__to")).distinct()
+        spread = blurred.withColumn("__to", F.explode(codes)).join(
+            bounded(seen, domain.size([*begin, attr])), [*begin, "__to"], "left_semi"
+        )
         k = F.exp(F.lit(-gamma) * F.pow(F.col(attr) - F.col("__to"), F.lit(2.0)))
         blurred = (
             spread.groupBy(*others, F.col("__to").alias(attr))
@@ -109,12 +114,14 @@ def cost_matrix(support: DataFrame, domain: Domain, max_pairs: int = 10_000_000)
 
 def sinkhorn(
     pq: DataFrame, domain: Domain, reg: float = 0.1, smooth: float = 1e-8, tol: float = 1e-6,
-    max_rounds: int = 1000, check_every: int = 10,
+    max_rounds: int = 1000, check_every: int = 10, max_pairs: int = 10_000_000,
 ) -> DataFrame:
     """Entropic transport cost between p and q on the whole domain, cost scaled by its maximum.
 
     The scalings are tables of cells; a round is two join-and-sum steps, each reading the last
     scaling once.  They are cut every ``check_every`` rounds, where convergence is one number.
+    The column ``converged`` says whether the scalings moved by less than ``tol`` at the end; the
+    kernel holds all pairs of cells, so ``max_pairs`` has to be raised for domains of over 3,162.
     """
     spark = pq.sparkSession
     grid = domain_grid(spark, domain, domain.attrs)
@@ -127,7 +134,7 @@ def sinkhorn(
     cells = cells.select(
         *domain.attrs, "cell", *[(F.col(c) / total[c]).alias(c) for c in ("p", "q")]
     )
-    raw = cost_matrix(cells, domain)
+    raw = cost_matrix(cells, domain, max_pairs)
     top = math.sqrt(sum((n - 1) ** 2 for n in domain.sizes)) or 1.0
     kernel = cut(
         raw.select("src", "dst", (F.col("cost") / top).alias("cost")).withColumn(
@@ -143,7 +150,7 @@ def sinkhorn(
         return cells.join(sums, "cell").select("cell", (F.col(mass) / F.col("__kw")).alias("w"))
 
     v = cells.select("cell", F.lit(1.0 / size).alias("w"))
-    u = v
+    u, converged = v, False
     for round_no in range(1, max_rounds + 1):
         u = half("src", "dst", v, "p")
         if round_no % check_every == 0 or round_no == max_rounds:
@@ -151,14 +158,16 @@ def sinkhorn(
             v = cut(half("dst", "src", u, "q"))
             wanted = half("src", "dst", v, "p").withColumnRenamed("w", "next")
             gap = F.sum(F.abs(F.col("w") / F.col("next") - 1.0) * F.col("p"))
-            if u.join(wanted, "cell").join(cells, "cell").agg(gap.alias("gap")).first()["gap"] < tol:
+            converged = u.join(wanted, "cell").join(cells, "cell").agg(gap.alias("gap")).first()["gap"] < tol
+            if converged:
                 break
         else:
             v = half("dst", "src", u, "q")
     plan = kernel.join(u.select(F.col("cell").alias("src"), F.col("w").alias("u")), "src").join(
         v.select(F.col("cell").alias("dst"), F.col("w").alias("v")), "dst"
     )
-    return plan.agg(F.sum(F.col("u") * F.col("k") * F.col("v") * F.col("cost")).alias("sinkhorn"))
+    cost = F.sum(F.col("u") * F.col("k") * F.col("v") * F.col("cost"))
+    return plan.agg(cost.alias("sinkhorn"), F.lit(converged).alias("converged"))
 
 
 # ---------------------------------------------------------------- one-dimensional transport

@@ -103,14 +103,18 @@ def multiplicative_weights(
 
     Each round multiplies a cell by exp of the summed errors of the measurements it lies in,
     over 2 total, and renormalises; all groups move in the same job.  ``measured`` is
-    (clique, cell, noisy).  An iterate is read several times by the next round, so it is cut
+    (clique, cell, noisy) and may hold ``stddev``: errors then count by their precision, the most
+    precise measurement by 1.  An iterate is read several times by the next round, so it is cut
     every round.
     """
     groups = connected_groups(cliques, domain)
     names = [clique_name(c) for c in cliques]
-    target = cut(
-        measured.where(F.col("clique").isin(names)).select("clique", F.col("cell").alias("ccell"), "noisy")
-    )
+    mine = measured.where(F.col("clique").isin(names))
+    share = F.lit(1.0)
+    if "stddev" in measured.columns:
+        best = mine.where(F.col("stddev") > 0).select(F.min("stddev")).scalar()
+        share = F.when(F.col("stddev") > 0, F.pow(best / F.col("stddev"), F.lit(2.0))).otherwise(F.lit(1.0))
+    target = cut(mine.select("clique", F.col("cell").alias("ccell"), "noisy", share.alias("share")))
     state = clique_chunks(measured.sparkSession, domain, groups).withColumnRenamed("clique", "grp")
     sizes = F.create_map(*[F.lit(v) for g in groups for v in (clique_name(g), 1.0 / domain.size(g))])
     state = state.withColumn("value", F.element_at(sizes, F.col("grp")))
@@ -119,7 +123,7 @@ def multiplicative_weights(
         long = long.select("grp", "cell", "value", "m.clique", "m.ccell")
         hat = long.groupBy("clique", "ccell").agg(F.sum("value").alias("hat"))
         error = target.join(hat, ["clique", "ccell"]).select(
-            "clique", "ccell", (F.col("noisy") - F.col("hat") * F.lit(float(total))).alias("err")
+            "clique", "ccell", (F.col("share") * (F.col("noisy") - F.col("hat") * F.lit(float(total)))).alias("err")
         )
         moved = (
             long.join(error, ["clique", "ccell"])

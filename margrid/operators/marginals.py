@@ -232,15 +232,16 @@ def clique_marginals(
     )
 
 
-def workload(domain: Domain, k: int, max_cells: int = 10_000) -> list[tuple[str, ...]]:
-    """All k-way cliques with at most max_cells cells."""
-    return [c for c in combinations(domain.attrs, k) if domain.size(c) <= max_cells]
+def workload(domain: Domain, k: int, max_cells: int | None = None) -> list[tuple[str, ...]]:
+    """All k-way cliques; only a caller's explicit ``max_cells`` leaves larger ones out."""
+    cliques = list(combinations(domain.attrs, k))
+    return cliques if max_cells is None else [c for c in cliques if domain.size(c) <= max_cells]
 
 
 def all_marginals(
-    df: DataFrame, domain: Domain, k: int, max_cells: int = 10_000, weight: str | None = None
+    df: DataFrame, domain: Domain, k: int, max_cells: int | None = None, weight: str | None = None
 ) -> DataFrame:
-    """Counts of every k-way clique of the workload."""
+    """Counts of every k-way clique, or of those within an explicit ``max_cells``."""
     return clique_marginals(df, domain, workload(domain, k, max_cells), weight)
 
 

@@ -288,21 +288,22 @@ def interval_assign(
 ) -> DataFrame:
     """Join each row to the one cell whose [lo, hi) holds its u in [0, 1).
 
-    Cells are laid over ``buckets`` equal slices of the unit interval and rows meet them by
-    slice number; a heavy cell covers many slices, so its rows spread over many keys.  A known
-    bound on the number of cells (each cell and slice adds at most one row) lets a small table
-    be broadcast; otherwise there are at least four slices per shuffle partition.
+    Cells are laid over equal slices of the unit interval and rows meet them by slice number; a
+    heavy cell covers many slices, so its rows spread over many keys.  There are at least
+    ``buckets`` slices, four per shuffle partition and one per cell, so a slice holds two cells
+    or so however many there are.  A known bound on the number of cells (each cell and slice
+    adds at most one row) lets a small table be broadcast.
     """
-    buckets = max(buckets, 4 * shuffle_width(rows.sparkSession))
-    last = buckets - 1
-    slot = lambda c: F.least(F.floor(F.col(c) * F.lit(buckets)), F.lit(last))
+    least = max(buckets, 4 * shuffle_width(rows.sparkSession))
+    slices = F.greatest(F.lit(least).cast("bigint"), cells.select(F.count(F.lit(1))).scalar())
+    slot = lambda c: F.least(F.floor(F.col(c) * slices), slices - 1)
     covered = cells.where(F.col(hi) > F.col(lo)).withColumn(
         "__slot", F.explode(F.sequence(slot(lo), slot(hi)))
     )
     keyed = rows.withColumn("__slot", slot(u))
     hit = (F.col(u) >= F.col(lo)) & (F.col(u) < F.col(hi))
     if cells_bound is not None:
-        covered = bounded(covered, cells_bound + buckets)
+        covered = bounded(covered, cells_bound + max(least, cells_bound))
     return keyed.join(covered, "__slot").where(hit).drop("__slot")
 
 

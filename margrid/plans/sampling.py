@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from margrid.domain import Domain
 from margrid.functions.hashing import fresh_seed, uniform
-from margrid.operators.factors import attrs_of
+from margrid.operators.factors import attrs_of, eliminate, tree_factors
 from margrid.operators.fit import TreeModel, cumulative
 from margrid.operators.noise import interval_assign, round_counts
 from margrid.operators.ranking import hash_order_number, running_total
@@ -85,29 +85,48 @@ def sample_tree(
     model: TreeModel, n: int, seed: str | None = None, method: str = "sample",
     start: DataFrame | None = None,
 ) -> DataFrame:
-    """n rows (id, attributes) drawn along the tree; ``start`` may hold already drawn attributes."""
+    """n rows (id, attributes) drawn along the tree; ``start`` may hold already drawn attributes.
+
+    Every attribute is drawn given all drawn attributes that a path of undrawn ones leads to, so
+    edges between several drawn attributes and a later one all hold.  Without ``start`` that is
+    the one neighbour drawn before.
+    """
     seed = fresh_seed(seed)
     step = {"sample": draw_child, "round": deal_child}[method]
     rows = start if start is not None else model.pairs.sparkSession.range(n)
     done = {c for c in rows.columns if c != "id"}
     for group in model.components():
-        waiting = [e for e in model.edges if set(e) <= set(group)]
+        edges = [e for e in model.edges if set(e) <= set(group)]
         if not done & set(group):
             root = group[0]
             rows = step(rows, model.one(root), [], root, seed, model.domain)
             done.add(root)
-        while waiting:
-            ready = [e for e in waiting if set(e) & done]
-            a, b = ready[0]
-            waiting.remove(ready[0])
-            if a in done and b in done:
-                continue
-            parent, child = (a, b) if a in done else (b, a)
-            rows = step(rows, model.pair(a, b), [parent], child, seed, model.domain)
+        while ready := [e for e in edges if len(set(e) & done) == 1]:
+            (child,) = set(ready[0]) - done
+            around = _open_edges(edges, child, done)
+            given = sorted({a for e in around for a in e} & done)
+            if len(given) == 1:
+                table = model.pair(*ready[0])
+            else:
+                table = eliminate(
+                    tree_factors([(model.pair(*e), e) for e in around], child), [*given, child], model.domain
+                )
+            rows = step(rows, table, given, child, seed, model.domain)
             done.add(child)
     return rows.select("id", *model.domain.attrs)
 
 
+def _open_edges(edges: Sequence[tuple[str, str]], attr: str, done: set[str]) -> list[tuple[str, str]]:
+    """Edges of the subtree around an undrawn attribute that ends at drawn ones (metadata only)."""
+    inside, border = {attr}, [attr]
+    while border:
+        at = border.pop()
+        ahead = {a for e in edges if at in e for a in e} - done - inside
+        inside |= ahead
+        border.extend(ahead)
+    return [e for e in edges if set(e) & inside]
+
+
 def sample_table(
     table: DataFrame, domain: Domain, n: int, seed: str, buckets: int = 1024
 ) -> DataFrame:

@@ -296,6 +296,60 @@ def test_blended_release_keeps_domain_and_rows(spark, sf):
     assert bad == 0
 
 
+def test_satisfied_rule_keeps_every_edge(spark):
+    """x and y independent, w = 2x + y: the constraint's columns are drawn first and no edge is lost."""
+    i = F.col("id")
+    code = lambda c: c.cast("int")
+    df = spark.range(8000).select(
+        "id", code(i % 2).alias("x"), code(F.floor(i / 2) % 2).alias("y"), code(F.floor(i / 4) % 3).alias("z")
+    ).withColumn("w", F.col("x") * 2 + F.col("y"))
+    domain = Domain.of({"x": 2, "y": 2, "z": 3, "w": 4})
+    for strength in (0.0, 1.0):
+        rows = Y.ci_blend_synthesize(df, domain, Constraint.of("x", "y", "z"), 1000.0, 1e-9, strength, "t")
+        assert rows.where("w <> 2 * x + y").count() < 0.01 * rows.count()
+        assert _value(D.mean_error(D.workload_error(df, rows, domain, [("x", "w"), ("y", "w")]))) < 0.05
+
+
+def test_drawn_attributes_bound_the_next_one(spark):
+    """Between two drawn ends of a chain, the middle follows P(b, c | a, d)."""
+    df = spark.range(16_000).select(
+        "id", (F.col("id") % 2).cast("int").alias("a"), (F.floor(F.col("id") / 2) % 4).cast("int").alias("k")
+    )
+    df = df.withColumn("b", F.when(F.col("k") == 0, 1 - F.col("a")).otherwise(F.col("a")))
+    df = df.withColumn("c", F.col("b")).withColumn("d", F.col("c")).drop("k")
+    domain = Domain.of({"a": 2, "b": 2, "c": 2, "d": 2})
+    model = Y.exact_tree(df, domain, [("a", "b"), ("b", "c"), ("c", "d")])
+    rows = N.sample_tree(model, 16_000, "t", start=df.select("id", "a", "d"))
+    assert rows.where("b <> d or c <> d").count() == 0
+
+
+def test_private_parents_follow_a_large_budget(toy):
+    want = Y.greedy_parents(toy, TOY)
+    assert Y.greedy_parents(toy, TOY, 1e7, "t") == want
+    loose = {tuple(Y.greedy_parents(toy, TOY, 1e-6, f"t{i}")) for i in range(6)}
+    assert len(loose) > 1 and all(len(n) == 4 for n in loose)
+
+
+def test_precise_measurements_pull_harder(toy):
+    """Two contradicting answers pull to shares 0.97 and 0.03; alike they would meet at a half."""
+    rows = [("a", 0, 2900.0, 1.0), ("a", 1, 100.0, 1.0), ("a,b", 0, 100.0, 50.0), ("a,b", 5, 2900.0, 50.0)]
+    rows += [("a,b", c, 0.0, 50.0) for c in range(1, 5)]
+    m = toy.sparkSession.createDataFrame(rows, "clique string, cell long, noisy double, stddev double")
+    state = T.multiplicative_weights(m, TOY, [("a",), ("a", "b")], 3000.0, 8)
+    table = T.group_table(state, TOY, ("a", "b")).groupBy("a").agg(F.sum("value").alias("p"))
+    assert {r["a"]: r["p"] for r in table.collect()}[0] > 0.8
+
+
+def test_kernel_distance_takes_any_domain(spark):
+    """Three cells in a domain of 64 million: the work follows the support."""
+    d = Domain.of({"a": 400, "b": 400, "c": 400})
+    pq = spark.createDataFrame(
+        [(0, 0, 0, 0.5, 0.0), (1, 0, 0, 0.5, 0.2), (399, 5, 2, 0.0, 0.8)], "a int, b int, c int, p double, q double"
+    )
+    want = math.sqrt(0.5**2 + 0.3**2 + 0.8**2 + 2 * 0.5 * 0.3 * math.exp(-1))
+    assert _value(D.mmd_rbf(pq, d)) == pytest.approx(want, abs=1e-9)
+
+
 def test_overlaps_agree_after_averaging(toy):
     cliques = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")]
     noisy = Y.answer_workload_gaussian(toy, TOY, cliques, 1.0, 1e-9, "t")
