@@ -107,7 +107,7 @@ def _sign(size: int, bands: int, length: int):
 
 
 def _confirm(size: int):
-    """Rows (a, b, text_a, text_b) to those pairs whose full shingle sets are close enough."""
+    """Rows (a, b, root_a, root_b, text_a, text_b) to the roots of pairs whose full shingle sets are close enough."""
 
     def shingle_set(text: str) -> set:
         words = text.encode().lower().split()
@@ -128,16 +128,18 @@ def _confirm(size: int):
                 inter = len(known_set & other)
                 union = len(known_set) + len(other) - inter
                 keep.append(union > 0 and 100 * inter >= 80 * union)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["root_a", "root_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Confirmed pairs, from the full texts of both sides."""
+    """Links between the roots of confirmed pairs, from the full texts of both sides."""
     side_b = pairs.join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
     both = side_b.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
-    return in_tasks(both.select("a", "b", "text_a", "text_b"), _confirm(size), "a string, b string")
+    both = both.select("a", "b", "root_a", "root_b", "text_a", "text_b")
+    found = in_tasks(both, _confirm(size), "root_a string, root_b string")
+    return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
 
 
 _SIGNED = "id long, key string, n long, bands array<long>"
@@ -176,7 +178,6 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         texts.withColumn("at", no_id).join(wanted, ["key", "at"], "left_semi").dropDuplicates(["key", "at"])
         .select("key", "text")
     )
-    links = None
     for turn in range(STAR_ROUNDS + 1):
         now = members.join(labels, "key") if turn else members.withColumn("root", F.col("key"))
         if turn:  # buckets that still hold several components
@@ -195,32 +196,29 @@ def classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             now = stored(again.join(labels, "key").select("key", "n", "root", F.explode("bands").alias("bucket")))
             other = now.select("bucket", F.col("key").alias("ckey"), F.col("n").alias("cn"), F.col("root").alias("croot"))
             pairs = now.join(other, "bucket").where("root < croot").where(_NEAR)
-        pairs = pairs.select(F.col("ckey").alias("a"), F.col("key").alias("b")).distinct()
+        pairs = pairs.select(
+            F.col("ckey").alias("a"), F.col("key").alias("b"), F.col("croot").alias("root_a"), F.col("root").alias("root_b")
+        ).distinct()
         if turn == 0:
             pairs = stored(pairs)
-            seen = pairs
+            seen = pairs.select("a", "b")
         else:
             either = seen.union(seen.select("b", "a"))
             pairs = stored(pairs.join(either, ["a", "b"], "left_anti"))
-            seen = seen.union(pairs)
+            seen = seen.union(pairs.select("a", "b"))
         if pairs.isEmpty():
             if turn == 0:
                 break
             continue
         found = stored(_links(pairs, bodies, size))
-        if turn and found.isEmpty():
+        if found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
-        roots = stored(components(links))
-        labels = labels.select("key").join(
-            roots.withColumnsRenamed({"node": "key"}), "key", "left"
-        ).select("key", F.coalesce("root", "key").alias("root"))
-    if links is None:
-        labelled = rows.withColumn("root", F.col("key"))
-    else:
-        labelled = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "root", F.coalesce("root", "key")
+        # roots found so far stand for their components, so a later round unites no more than its own links
+        roots = components(found).select(F.col("node").alias("root"), F.col("root").alias("lower"))
+        labels = stored(
+            labels.join(roots, "root", "left").select("key", F.coalesce("lower", "root").alias("root"))
         )
+    labelled = rows.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
     best = labelled.where("n > 0").groupBy("root").agg(
         F.min(F.struct(F.col("low").isNull().alias("none"), "low", "key")).alias("best")
     )
