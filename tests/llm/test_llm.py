@@ -99,6 +99,33 @@ def test_hot_group_of_near_copies(spark):
     assert {x["component_id"] for x in out} == {0} and sum(x["kept"] for x in out) == 1
 
 
+def test_links_inside_mixed_buckets(spark, monkeypatch):
+    """Pairs at exactly 0.80 of words that all texts draw from: no link may get lost in the shared buckets."""
+    r = random.Random(9)
+    rows = []
+    for i in range(200):
+        inside = set(r.sample(range(228), 180))
+        out = r.sample(sorted(inside), 20)
+        near = inside - set(out) | set(r.sample(sorted(set(range(228)) - inside), 20))
+        rows += [(2 * i + j, " ".join(f"w{k}" for k in sorted(s))) for j, s in enumerate((inside, near))]
+    monkeypatch.setattr(near_dup, "BLOCK", 40, raising=False)
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert {x["doc_id"]: x["component_id"] for x in out} == {d: d // 2 * 2 for d, _ in rows}
+
+
+def test_sketches_bound_the_difference():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    sets = [set(r.sample(range(700), r.randint(1, 500))) for _ in range(40)]
+    texts = pa.record_batch({"key": [str(i) for i in range(40)], "text": [" ".join(f"w{x}" for x in s) for s in sets]})
+    got = [row["sketch"] for batch in near_dup._sketch(1)([texts]) for row in batch.to_pylist()]
+    for a, x in zip(sets, got):
+        for b, y in zip(sets, got):
+            apart = sum((p ^ q).bit_count() for p, q in zip(x, y))
+            assert apart <= len(a ^ b) and (apart - len(a ^ b)) % 2 == 0
+
+
 def test_license_scan(spark):
     rows, df = _made(spark)
     want = collections.Counter()
