@@ -5,8 +5,9 @@ a bounded sample; every row is then led to its leaves in all trees, compared in
 rows of each leaf, and links are united. A pair counts in the first tree (and leaf) in which it meets.
 
 A crowd of vectors so near to each other that all pairs link (within half the linking angle of one centre)
-needs no comparing: it is counted as a whole, does not shape the trees, and in a leaf its rows are dealt over
-several tasks, each of which has all other rows of the leaf.
+needs no comparing: it is counted as a whole and does not shape the trees. In a leaf with many crowd rows these
+lie in blocks. Each block has a task with all rows of the leaf outside crowds, and every two blocks have a task
+where the rows of different crowds meet; crowds too far from every other one for a link stay out of the latter.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ SPILL = 0.08
 COPIES = 4
 # Vectors that the trees are fitted on at most, in expectation: the bound of the fit.
 SAMPLE = 10_000
-# Crowd rows of a leaf that one task gets.
+# Crowd rows of a leaf's block.
 DEAL = 4_096
+_PAIR = 1 << 20
 
 
 class Forest:
@@ -42,6 +44,10 @@ class Forest:
         rng = np.random.default_rng(seed)
         scale = number / max(len(sample), 1)
         self.centres = self._crowds(sample, scale, rng)
+        # rows lie within half the linking angle of their centre, so centres of linked rows within twice that angle
+        apart = np.arccos(np.clip(self.centres @ self.centres.T, -1, 1))
+        np.fill_diagonal(apart, np.inf)
+        self.touching = (apart <= 2 * math.acos(COSINE) + 1e-6).any(axis=1)
         loose = sample[self.crowd_of(sample) < 0]
         least = max(LEAF / scale, 8)
         self.direction, self.low, self.high, self.child, self.roots = [], [], [], [], []
@@ -51,7 +57,7 @@ class Forest:
         self.direction = np.array(self.direction).reshape(-1, self.width)
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.child = np.array(self.child, np.int64).reshape(-1, 2)
-        # tasks that share a leaf's crowd rows, from the crowd rows of the sample
+        # blocks of a leaf's crowd rows, from the crowd rows of the sample
         self.deals = np.ones(self.leaves, np.int64)
         crowd = sample[self.crowd_of(sample) >= 0]
         if len(crowd):
@@ -163,7 +169,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _route(forest: Forest):
-    """Rows (key, copies, vector) to one row for each leaf and deal; crowd rows go to one deal of a leaf."""
+    """Rows (key, copies, vector) to one row for each leaf and deal, which is a pair of the leaf's blocks.
+
+    Rows outside crowds go to the deals of one block with itself, crowd rows to those of their block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,18 +185,23 @@ def _route(forest: Forest):
                 # row numbers of the class keys' first digits deal crowd rows alike in every run
                 lot = np.array([int(k[:8], 16) for k in batch.column("key").to_pylist()])
                 deals = forest.deals[leaf]
-                dealt = (crowd[i] >= 0) & (deals > 1)
-                times = np.where(dealt, 1, deals)
+                alone = (crowd[i] >= 0) & ~np.append(forest.touching, False)[crowd[i]]
+                times = np.where(alone, 1, deals)
                 again = np.repeat(np.arange(len(leaf)), times)
                 nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                deal = np.where(dealt[again], lot[i[again]] % deals[again], nth)
+                own = np.where(crowd[i] >= 0, lot[i] % deals, -1)
+                block = own[again]
+                nth = np.where(alone[again], block, nth)
+                block = np.where(block < 0, nth, block)
+                deal = np.minimum(block, nth) * _PAIR + np.maximum(block, nth)
                 taken = i[again]
                 bytes_ = [led[k].tobytes() for k in range(len(batch))]
                 picked = batch.select(["key", "copies", "vector"]).take(pa.array(taken))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaf[again]), pa.array(deal.astype(np.int64)), *picked.columns,
-                     pa.array(crowd[taken]), pa.array([bytes_[k] for k in taken], pa.binary())],
-                    names=["leaf", "deal", "key", "copies", "vector", "crowd", "leaves"],
+                     pa.array(crowd[taken]), pa.array(block.astype(np.int64)),
+                     pa.array([bytes_[k] for k in taken], pa.binary())],
+                    names=["leaf", "deal", "key", "copies", "vector", "crowd", "block", "leaves"],
                 )
 
     return run
@@ -204,6 +218,7 @@ def _compare(width: int):
         keys = table.column("key").to_pylist()
         rows = _matrix(table.column("vector"), width)
         copies, crowd = table.column("copies").to_numpy(), table.column("crowd").to_numpy()
+        block = table.column("block").to_numpy()
         leaves = np.frombuffer(b"".join(table.column("leaves").to_pylist()), np.int32).reshape(len(rows), -1, COPIES)
         tree = int(np.nonzero((leaves[0] == leaf).any(axis=1))[0][0])
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
@@ -218,7 +233,9 @@ def _compare(width: int):
             i, j = np.nonzero(rows[at:at + 512] @ rows[at:].T >= COSINE)
             i, j = i + at, j + at
             keep = (i < j) & ((crowd[i] != crowd[j]) | (crowd[i] < 0))
-            if deal:  # rows outside crowds stand in every deal; their pairs belong to the first
+            if deal // _PAIR != deal % _PAIR:  # pairs inside a block belong to its own deal
+                keep &= block[i] != block[j]
+            elif deal:  # rows outside crowds stand in every block's own deal; their pairs belong to the first
                 keep &= (crowd[i] >= 0) | (crowd[j] >= 0)
             i, j = i[keep], j[keep]
             new = np.ones(len(i), bool)
@@ -263,7 +280,7 @@ def _search(rows: DataFrame, width: int, number: int, sample: int) -> tuple[Data
     forest = Forest(_matrix(pa.array(vectors, pa.binary()), width) if vectors else np.empty((0, width)), number)
     routed = in_tasks(
         rows.select("key", "copies", "vector"), _route(forest),
-        "leaf long, deal long, key string, copies long, vector binary, crowd long, leaves binary",
+        "leaf long, deal long, key string, copies long, vector binary, crowd long, block long, leaves binary",
     )
     met = stored(routed.groupBy("leaf", "deal").applyInArrow(_compare(width), "key string, links long, root string"))
     links = met.select("key", "links")

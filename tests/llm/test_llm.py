@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from margrid.llm import katz, license_scan, near_dup, packing, queries, toxicity
+from margrid.llm import embed_dedup, katz, license_scan, near_dup, packing, queries, toxicity
 from margrid.llm.components import components
 from margrid.llm.decontaminate import decontaminate, drop_contaminated
 from margrid.llm.embed_dedup import embedding_duplicates
@@ -385,6 +385,23 @@ def test_embeddings(spark):
     assert embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_touching_crowds(spark, monkeypatch):
+    """Two crowds that link across, with more rows than a block holds: all their rows link with each other."""
+    monkeypatch.setattr(embed_dedup, "DEAL", 200)
+    rng = np.random.default_rng(5)
+    centre = np.zeros((2, 16))
+    centre[0, 0] = 1
+    centre[1, :2] = math.cos(math.radians(14)), math.sin(math.radians(14))
+    crowds = np.repeat(centre, 600, axis=0) + rng.normal(scale=0.002, size=(1200, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([crowds, rng.normal(size=(100, 16))]))]
+    e = np.array([v for _, v in rows])
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    true = (e @ e.T >= 0.95).sum(axis=1) - 1
+    assert (true[:1200] == 1199).all()
+    out = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in out} == dict(enumerate(true.tolist()))
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = [("toxicity", 6), ("near_dedup", 3), ("decontamination", 8), ("packing", 2)]
