@@ -6,9 +6,10 @@ exactly what normalises the words that do not follow h in training.
 
 Tables lie in parts by hash of the history, and a part holds all that its pairs need: chunks of texts send each
 part their distinct pairs with the documents they stand in, word parts send it the counts of its words, and
-the part sends back one sum for each document. Good-Turing's counts of counts are taken in each part, whose
-histories are a random share of all. Histories with more than ``HOT`` of all words are split by the next word;
-their back-off weights come from sums over the pieces and are added at the end.
+the part sends back one sum for each document. Good-Turing's counts of counts are summed over all parts before
+that, from the pairs of training texts alone, so scores don't hang on the number of parts. Histories with more
+than ``HOT`` of all words are split by the next word; their back-off weights come from sums over the pieces and
+are added at the end.
 """
 
 from __future__ import annotations
@@ -173,6 +174,49 @@ def _rows(part: list, chunk: list, row: list) -> pa.RecordBatch:
     )
 
 
+def _trained(hot: np.ndarray, parts: int):
+    """For each part: hashes of the chunk's distinct training pairs, their counts, and places of hot histories."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, chunk in _chunks(batches):
+            mine = np.flatnonzero(chunk.train[chunk.doc])
+            wide = len(chunk.words) + 1
+            pair, found = pd.factorize(chunk.history[mine] * wide + chunk.code[mine])
+            history, word = chunk.before[found // wide], chunk.words[found % wide]
+            part = np.empty(len(found), np.int64)
+            part[pair] = chunk.parts(hot, parts)[mine]
+            order = _order(part)
+            name = mix(history ^ mix(word + np.uint64(7)))[order]
+            count = np.bincount(pair, minlength=len(found))[order]
+            # one more than the place among hot histories, 0 for all others
+            place = (pd.Index(hot).get_indexer(history)[order] + 1).astype(np.uint16)
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            rows: list[list] = [[], [], []]
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                some = slice(bounds[p], bounds[p + 1])
+                for column, v in zip(rows, (p, number, _pack(name[some], *_small(count[some]), place[some])), strict=True):
+                    column.append(v)
+            yield _rows(*rows)
+
+    return run
+
+
+def _count_pairs(places: int):
+    """A part's training pairs to counts of counts, and numbers of discounted pairs of each hot history."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [_unpack(r) for r in table.column("row").to_pylist()]
+        code, names = pd.factorize(np.concatenate([r[0] for r in rows]))
+        count = np.bincount(code, np.concatenate([_whole(r[1], r[2]) for r in rows]), len(names)).astype(np.int64)
+        place = np.empty(len(names), np.int64)
+        place[code] = np.concatenate([r[3] for r in rows])
+        of = np.bincount(np.minimum(count, KATZ + 2), minlength=KATZ + 3)[1:KATZ + 2]
+        rare = np.bincount(place[count <= KATZ], minlength=places + 1)[1:]
+        return pa.Table.from_batches([_rows([0], [-1], [_pack(of.astype(np.int64), rare.astype(np.int64))])])
+
+    return run
+
+
 def _pairs(hot: np.ndarray, parts: int):
     """For each part: the chunk's distinct pairs by history, and the documents of each pair's places."""
 
@@ -284,7 +328,7 @@ class Words:
         return np.where(count > 0, _discounted(count, self.discount) / self.total * self.scale, self.left)
 
 
-def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
+def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray, discount: np.ndarray, hot_bare: np.ndarray):
     """One part's pairs to sums for each document of each chunk, and sums of the hot histories (chunk -1)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -312,15 +356,15 @@ def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
         index = pd.Index(np.concatenate([c[0] for c in counts]))
         word_count = np.concatenate([_whole(c[1], c[2]) for c in counts])[index.get_indexer(vocabulary)]
         lower = words.probability(word_count)
-        kept = _discounted(count, discounts([int((count == r).sum()) for r in range(1, KATZ + 2)]))
+        kept = _discounted(count, discount)
         total = np.bincount(h, count, len(histories))
+        hot_at = pd.Index(hot).get_indexer(histories)
+        is_hot = hot_at >= 0
         bare = total - np.bincount(h, kept, len(histories)) < 1e-9
+        bare = np.where(is_hot, hot_bare[np.maximum(hot_at, 0)], bare)
         kept = np.where(bare[h] & (count > 0), count - 0.5, kept)
         mass = np.bincount(h, kept, len(histories))
         covered = np.bincount(h, lower[w] * (count > 0), len(histories))
-
-        hot_at = pd.Index(hot).get_indexer(histories)
-        is_hot = hot_at >= 0
         total = np.where(is_hot, hot_count[np.maximum(hot_at, 0)], total)
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(total > 0, (1 - mass / total) / np.maximum(1 - covered, 1e-12), 1.0)
@@ -425,8 +469,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for r in exact:
         hot_count[r["hot"]] = r["n"]
 
+    of, rare = np.zeros(KATZ + 1, np.int64), np.zeros(len(hot), np.int64)
+    trained = in_tasks(rows, _trained(hot, parts), _PARTS)
+    for r in trained.groupBy("part").applyInArrow(_count_pairs(len(hot)), _PARTS).collect():
+        a, b = _unpack(bytes(r["row"]))
+        of, rare = of + a, rare + b
+    discount = discounts(of.tolist())
     pairs = in_tasks(rows, _pairs(hot, parts), _PARTS).union(counted.where("part >= 0"))
-    scored = stored(pairs.groupBy("part").applyInArrow(_score(words, hot, hot_count), _PARTS))
+    scored = stored(pairs.groupBy("part").applyInArrow(_score(words, hot, hot_count, discount, rare == 0), _PARTS))
     log_back = np.zeros(len(hot))
     sums = in_tasks(scored.where("chunk < 0"), _sum_hot, "hot long, mass double, covered double")
     for r in sums.groupBy("hot").agg(F.sum("mass").alias("mass"), F.sum("covered").alias("covered")).collect():

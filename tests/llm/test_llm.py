@@ -305,6 +305,16 @@ def test_katz(spark, monkeypatch, part_tokens):
     assert katz.score_texts(_empty(spark)).count() == 0
 
 
+def test_katz_scores_do_not_hang_on_parts(spark, monkeypatch):
+    rows, df = _made(spark, 120, 4)
+    monkeypatch.setattr(katz, "PART_TOKENS", 900)
+    key = lambda x: (x[0] is None, x[0] or 0, x[2])
+    out = sorted(map(tuple, katz.score_texts(df).collect()), key=key)
+    for got, plain in zip(out, sorted(_plain_katz(rows)[0], key=key), strict=True):
+        assert got[:5] == plain[:5]
+        assert got[5:] == pytest.approx(plain[5:], rel=1e-9)
+
+
 def test_katz_beats_single_words(spark, sf):
     out = katz.score_texts(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out")
     score, base = out.agg(F.sum("score"), F.sum("base_score")).first()
