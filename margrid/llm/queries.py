@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import importlib
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from margrid.llm.common import table
 from margrid.llm.decontaminate import decontaminate
 from margrid.llm.embed_dedup import embedding_duplicates
+from margrid.llm.exact_dedup import exact_duplicates
 from margrid.llm.html_text import extract_text
 from margrid.llm.katz import score_texts
 from margrid.llm.license_scan import scan_licenses
 from margrid.llm.near_dup import near_duplicates
 from margrid.llm.packing import pack
+from margrid.llm.periodic import periodic_runs
 from margrid.llm.sharding import shard
 from margrid.llm.token_counts import count_tokens
 from margrid.llm.toxicity import score_toxicity
+from margrid.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +68,45 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf, "embeddings"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf, "documents"), keep="largest")
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's edit: in a tenth of the documents, by crc32 of the id, the words from a place on repeat."""
+    if doc_id is None or not words:
+        return words
+    kind, g = zlib.crc32(str(doc_id).encode()) % 10, zlib.crc32(str(doc_id).encode()) // 10
+    if kind:
+        return words
+    start = g % len(words)
+    tail = words[start:]
+    period = 1 + len(tail) // (3 + g % 8)
+    return words[:start] + (tail[:period] * (len(tail) // period + 1))[:len(tail)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    marked = periodic_runs(table(spark, sf, "documents"), edit=repeated_tail)
+    # runs come by start, then period, so of equal exponents the first one stays
+    best = F.reduce(
+        "runs", F.get("runs", F.lit(0)),
+        lambda best, x: F.when(x["length"] * best["period"] > best["length"] * x["period"], x).otherwise(best),
+    )
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return marked.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` at the repository's top."""
     return importlib.import_module("corpus_pipeline").run(spark, sf)
@@ -72,7 +116,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_packing, op3_minhash, op4_html_text, op5_token_counts, op6_toxicity, op7_katz,
-        op8_decontamination, op9_sharding, op10_embedding_dedup, pipeline,
+        op8_decontamination, op9_sharding, op10_embedding_dedup, op11_exact_dedup, op12_periodic_runs,
+        op13_whitening, pipeline,
     )
 }
 
@@ -118,4 +163,9 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_exact_dedup": """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
 }

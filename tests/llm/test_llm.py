@@ -431,7 +431,7 @@ def test_registry(spark, sf, con):
     from oracle import compare
 
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
     for name, sql in queries.ORACLES.items():
         assert compare(queries.QUERIES[name](spark, sf), con, sql) == ""
     assert os.path.exists(corpus_pipeline.__file__)
