@@ -41,13 +41,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_tasks(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose Python workers find this package where the driver found it."""
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers started from now on look for this package where the driver found it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = df.sparkSession.sparkContext.environment
+    environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def in_tasks(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose Python workers find this package where the driver found it."""
+    workers_find_package(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
@@ -94,11 +99,13 @@ def _hash_words(
     return mix(np.add.reduceat(value, starts - starts[0])), starts
 
 
-def word_hashes(column: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    column: pa.Array, most: int | None = None, gaps: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a string column, and each text's first word (one more at the end).
 
-    Words are runs without ASCII white space, A-Z lower-cased; nulls have none. With ``most``, a word is
-    hashed by its first bytes alone.
+    Words are runs without the bytes of ``gaps`` (ASCII white space), A-Z lower-cased; nulls have none. With
+    ``most``, a word is hashed by its first bytes alone.
     """
     column = column.cast(pa.large_string())
     texts = len(column)
@@ -112,10 +119,10 @@ def word_hashes(column: pa.Array, most: int | None = None) -> tuple[np.ndarray,
     hashes, places, at = [], [], low
     while at < high:
         end = min(at + CHUNK_BYTES, high)
-        if end < high:  # go on to white space or to the next text
+        if end < high:  # go on to a gap or to the next text
             text_end = int(offsets[np.searchsorted(offsets, end)])
             while end < text_end:
-                ahead = SPACE[data[end:min(end + 4096, text_end)]]
+                ahead = gaps[data[end:min(end + 4096, text_end)]]
                 end += int(ahead.argmax()) if ahead.any() else len(ahead)
                 if ahead.any():
                     break
@@ -123,7 +130,7 @@ def word_hashes(column: pa.Array, most: int | None = None) -> tuple[np.ndarray,
         first = np.zeros(end - at, bool)
         inside = offsets[(offsets >= at) & (offsets < end)] - at
         first[inside] = True
-        h, s = _hash_words(LOWER[chunk], first, SPACE[chunk], most)
+        h, s = _hash_words(LOWER[chunk], first, gaps[chunk], most)
         hashes.append(h)
         places.append(s + at)
         at = end

@@ -5,11 +5,12 @@ words, else what the discounts leave. Discounts d are Good-Turing's for counts u
 exactly what normalises the words that do not follow h in training.
 
 Tables lie in parts by hash of the history, and a part holds all that its pairs need: chunks of texts send each
-part their distinct pairs with the documents they stand in, word parts send it the counts of its words, and
-the part sends back one sum for each document. Good-Turing's counts of counts are summed over all parts before
-that, from the pairs of training texts alone, so scores don't hang on the number of parts. Histories with more
-than ``HOT`` of all words are split by the next word; their back-off weights come from sums over the pieces and
-are added at the end.
+part their distinct pairs with the documents they stand in, and word parts send it the counts of its words. Good-Turing's
+counts of counts are only known when all parts are counted, so a part does not need them: it sends back what the
+discounts enter: for each document the logarithms that are certain and how many of its pairs have which rare count, and
+for the back-off weights the numbers of rare pairs of each history. The pairs are shuffled once, and scores don't hang
+on the number of parts. Words more frequent than half a part are hot histories, which are split by the next word; their
+back-off weights come from sums over the pieces.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from margrid.llm.common import in_tasks, mix, slices, stored, word_hashes
 
 # Counts up to this one are discounted, as in Katz's paper.
 KATZ = 5
-# Words of this share of all are hot histories (at most 1 / HOT of them), and tokens of a part.
+# Tokens of a part. Words of more than half as many tokens, and of this share of all, are hot histories.
+PART_TOKENS = 1_250_000
 HOT = 0.002
-PART_TOKENS = 2_500_000
 CHUNK = 8 << 20
 
 _START, _END = np.uint64(1), np.uint64(2)
@@ -129,15 +130,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             n += 1
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of tokens (word 0) and the words that are frequent in a chunk, at most 2 / HOT of them."""
-    for _, _, chunk in _chunks(batches):
-        number = np.bincount(chunk.code, minlength=len(chunk.words))
-        often = np.flatnonzero(number >= len(chunk.code) * HOT / 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(chunk.words[often].view(np.int64), 0)),
-             pa.array(np.append(number[often], len(chunk.code)).astype(np.int64))], names=["word", "n"],
-        )
+def _frequent(share: float):
+    """Number of tokens (word 0) and the words that are frequent in a chunk, at most 2 / share of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, chunk in _chunks(batches):
+            number = np.bincount(chunk.code, minlength=len(chunk.words))
+            often = np.flatnonzero(number >= len(chunk.code) * share / 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(chunk.words[often].view(np.int64), 0)),
+                 pa.array(np.append(number[often], len(chunk.code)).astype(np.int64))], names=["word", "n"],
+            )
+
+    return run
 
 
 def _requests(hot: np.ndarray, parts: int, word_parts: int):
@@ -174,49 +179,6 @@ def _rows(part: list, chunk: list, row: list) -> pa.RecordBatch:
     )
 
 
-def _trained(hot: np.ndarray, parts: int):
-    """For each part: hashes of the chunk's distinct training pairs, their counts, and places of hot histories."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, chunk in _chunks(batches):
-            mine = np.flatnonzero(chunk.train[chunk.doc])
-            wide = len(chunk.words) + 1
-            pair, found = pd.factorize(chunk.history[mine] * wide + chunk.code[mine])
-            history, word = chunk.before[found // wide], chunk.words[found % wide]
-            part = np.empty(len(found), np.int64)
-            part[pair] = chunk.parts(hot, parts)[mine]
-            order = _order(part)
-            name = mix(history ^ mix(word + np.uint64(7)))[order]
-            count = np.bincount(pair, minlength=len(found))[order]
-            # one more than the place among hot histories, 0 for all others
-            place = (pd.Index(hot).get_indexer(history)[order] + 1).astype(np.uint16)
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            rows: list[list] = [[], [], []]
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                some = slice(bounds[p], bounds[p + 1])
-                for column, v in zip(rows, (p, number, _pack(name[some], *_small(count[some]), place[some])), strict=True):
-                    column.append(v)
-            yield _rows(*rows)
-
-    return run
-
-
-def _count_pairs(places: int):
-    """A part's training pairs to counts of counts, and numbers of discounted pairs of each hot history."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = [_unpack(r) for r in table.column("row").to_pylist()]
-        code, names = pd.factorize(np.concatenate([r[0] for r in rows]))
-        count = np.bincount(code, np.concatenate([_whole(r[1], r[2]) for r in rows]), len(names)).astype(np.int64)
-        place = np.empty(len(names), np.int64)
-        place[code] = np.concatenate([r[3] for r in rows])
-        of = np.bincount(np.minimum(count, KATZ + 2), minlength=KATZ + 3)[1:KATZ + 2]
-        rare = np.bincount(place[count <= KATZ], minlength=places + 1)[1:]
-        return pa.Table.from_batches([_rows([0], [-1], [_pack(of.astype(np.int64), rare.astype(np.int64))])])
-
-    return run
-
-
 def _pairs(hot: np.ndarray, parts: int):
     """For each part: the chunk's distinct pairs by history, and the documents of each pair's places."""
 
@@ -245,15 +207,16 @@ def _pairs(hot: np.ndarray, parts: int):
             for p in np.flatnonzero(np.diff(bounds)).tolist():
                 lo, hi = bounds[p], bounds[p + 1]
                 starts = np.flatnonzero(np.append(True, history[lo + 1:hi] != history[lo:hi - 1]))
+                local, place = np.unique(doc[spots[lo]:spots[hi]], return_inverse=True)
                 # the first part of a chunk also carries who its documents are
-                who = (np.array(ids, np.int64), none, chunk.tokens.astype(np.int64)) if full else (
-                    np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+                who = (np.array(ids, np.int64), none, chunk.tokens.astype(np.int64), chunk.train) if full else (
+                    np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, bool)
                 )
                 full = False
                 for column, v in zip(rows, (p, number, _pack(
                     chunk.before[history[lo:hi][starts]], *_small(np.diff(np.append(starts, hi - lo))),
-                    chunk.words[word[lo:hi]], *_small(places[lo:hi]), _narrow(doc[spots[lo]:spots[hi]], docs),
-                    chunk.train, *who,
+                    chunk.words[word[lo:hi]], *_small(places[lo:hi]), _narrow(place, docs),
+                    _narrow(local, docs), chunk.train[local], *who,
                 )), strict=True):
                     column.append(v)
             yield _rows(*rows)
@@ -328,8 +291,21 @@ class Words:
         return np.where(count > 0, _discounted(count, self.discount) / self.total * self.scale, self.left)
 
 
-def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray, discount: np.ndarray, hot_bare: np.ndarray):
-    """One part's pairs to sums for each document of each chunk, and sums of the hot histories (chunk -1)."""
+def _sums_by(index: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
+    """How often each rare count (1 to KATZ) stands at each index: size x KATZ numbers."""
+    some = (rare > 0) & (rare <= KATZ)
+    return np.bincount(index[some] * KATZ + rare[some] - 1, minlength=size * KATZ)
+
+
+def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
+    """One part's pairs to what the documents of each chunk get from them, but for the discounts.
+
+    A chunk's row: its documents here; logarithms, base and known words of each; how many of their pairs have
+    which rare count; documents and hot histories of unknown pairs; documents and histories (by number) of other unknown
+    pairs; of these histories the numbers of rare pairs, mass of the others, count and cover; what hot histories without
+    rare pairs change (document, history, logarithm); who the documents are. A part's own row (chunk -1): hot histories,
+    their rare pairs, mass and number of others, cover; counts of counts.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -339,97 +315,128 @@ def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray, discount: np.nd
         counts = [_unpack(raw[i]) for i in order if numbers[i] < 0]
         rows = [_unpack(raw[i]) for i in order if numbers[i] >= 0]
         chunks = [numbers[i] for i in order if numbers[i] >= 0]
-        runs = [_whole(r[1], r[2]) for r in rows]
         h_code, histories = pd.factorize(np.concatenate([r[0] for r in rows]))
-        h_code = np.repeat(h_code, np.concatenate(runs))
+        h_code = np.repeat(h_code, np.concatenate([_whole(r[1], r[2]) for r in rows]))
         w_code, vocabulary = pd.factorize(np.concatenate([r[3] for r in rows]))
         places = np.concatenate([_whole(r[4], r[5]) for r in rows])
         sizes = np.array([len(r[7]) for r in rows])
         base_doc = np.cumsum(sizes) - sizes
         doc = np.concatenate([r[6].astype(np.int64) + b for r, b in zip(rows, base_doc, strict=True)])
-        train = np.concatenate([r[7] for r in rows])
+        train = np.concatenate([r[8] for r in rows])
         seen = np.add.reduceat(train[doc].astype(np.int64), np.cumsum(places) - places)
         code, pairs = pd.factorize(h_code * len(vocabulary) + w_code)
         h, w = pairs // len(vocabulary), pairs % len(vocabulary)
         count = np.bincount(code, seen, len(pairs)).astype(np.int64)
+        del seen, pairs
 
         index = pd.Index(np.concatenate([c[0] for c in counts]))
         word_count = np.concatenate([_whole(c[1], c[2]) for c in counts])[index.get_indexer(vocabulary)]
         lower = words.probability(word_count)
-        kept = _discounted(count, discount)
-        total = np.bincount(h, count, len(histories))
         hot_at = pd.Index(hot).get_indexer(histories)
         is_hot = hot_at >= 0
-        bare = total - np.bincount(h, kept, len(histories)) < 1e-9
-        bare = np.where(is_hot, hot_bare[np.maximum(hot_at, 0)], bare)
-        kept = np.where(bare[h] & (count > 0), count - 0.5, kept)
-        mass = np.bincount(h, kept, len(histories))
+        rare = _sums_by(h, count, len(histories)).reshape(-1, KATZ)
+        common = count > KATZ
+        others = np.bincount(h, common, len(histories))
+        mass = np.bincount(h, np.where(common, count, 0), len(histories))
+        # a history without rare pairs keeps nothing for unknown words: then each of its pairs gives up a half
+        bare = ~rare.any(axis=1)
+        kept = np.where(common & (bare & ~is_hot)[h], count - 0.5, count)
+        mass -= np.where(bare & ~is_hot, others / 2, 0)
         covered = np.bincount(h, lower[w] * (count > 0), len(histories))
-        total = np.where(is_hot, hot_count[np.maximum(hot_at, 0)], total)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(total > 0, (1 - mass / total) / np.maximum(1 - covered, 1e-12), 1.0)
-        back = np.where(is_hot, 1.0, back)  # those of hot histories come at the end
-        logs = np.log10(np.where(count > 0, kept / np.maximum(total[h], 1), back[h] * lower[w]))
+        total = np.where(is_hot, hot_count[np.maximum(hot_at, 0)], np.bincount(h, count, len(histories)))
+        logs = np.log10(np.where(count > 0, kept / np.maximum(total[h], 1), lower[w]))
         plain = np.log10((word_count + 1.0) / (words.total + words.known + 1.0))
 
         docs = len(train)
         score = np.bincount(doc, np.repeat(logs[code], places), docs)
         base = np.bincount(doc, np.repeat(plain[w_code], places), docs)
         known = np.bincount(doc, np.repeat(word_count[w_code] > 0, places), docs).astype(np.int64)
-        open_ = np.repeat(is_hot[h_code] & (count[code] == 0), places)
-        open_doc, open_hot = doc[open_], np.repeat(hot_at[h_code], places)[open_]
+        ranks = _sums_by(doc, np.repeat(count[code], places), docs)
+
+        def spread(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Documents, histories and counts at the places of chosen pairs, by chunk, and the chunks' bounds."""
+            some = np.repeat(chosen[code], places)
+            at, of, n = doc[some], np.repeat(h_code, places)[some], np.repeat(count[code], places)[some]
+            home = np.searchsorted(base_doc, at, side="right") - 1
+            turn = _order(home)
+            return at[turn], of[turn], n[turn], np.searchsorted(home[turn], np.arange(len(rows) + 1))
+
+        open_hot = spread((count == 0) & is_hot[h])
+        open_cold = spread((count == 0) & (~is_hot & (total > 0))[h])
+        changed = spread(common & (is_hot & bare)[h])
+        change = np.log10(1 - 0.5 / changed[2])
         out: list[list] = [[], [], []]
-        home = np.searchsorted(base_doc, open_doc, side="right") - 1
-        turn = _order(home)
-        open_doc, open_hot = open_doc[turn], open_hot[turn]
-        bounds = np.searchsorted(home[turn], np.arange(len(rows) + 1))
         for i, (number, row) in enumerate(zip(chunks, rows, strict=True)):
-            mine = slice(bounds[i], bounds[i + 1])
             some = slice(base_doc[i], base_doc[i] + sizes[i])
+            local = row[7].astype(np.uint32)
+            a, b, c = (slice(x[3][i], x[3][i + 1]) for x in (open_hot, open_cold, changed))
+            met, name = np.unique(open_cold[1][b], return_inverse=True)
             packed = _pack(
-                score[some], base[some], *_small(known[some]), (open_doc[mine] - base_doc[i]).astype(np.uint32),
-                open_hot[mine].astype(np.uint16), row[7], row[8], row[9], row[10],
+                local, score[some], base[some], *_small(known[some]),
+                *_small(ranks[base_doc[i] * KATZ:(base_doc[i] + sizes[i]) * KATZ]),
+                local[open_hot[0][a] - base_doc[i]], hot_at[open_hot[1][a]].astype(np.uint32),
+                local[open_cold[0][b] - base_doc[i]], name.astype(np.uint32),
+                *_small(rare[met].ravel()), mass[met], total[met].astype(float), covered[met],
+                local[changed[0][c] - base_doc[i]], hot_at[changed[1][c]].astype(np.uint32), change[c], *row[9:],
             )
             for column, v in zip(out, (part, number, packed), strict=True):
                 column.append(v)
-        sums = np.zeros((2, len(hot)))
-        sums[0, hot_at[is_hot]], sums[1, hot_at[is_hot]] = mass[is_hot], covered[is_hot]
-        for column, v in zip(out, (part, -1, _pack(sums[0], sums[1])), strict=True):
+        of = np.bincount(np.minimum(count, KATZ + 2), minlength=KATZ + 3)[1:KATZ + 2].astype(np.int64)
+        packed = _pack(
+            hot_at[is_hot].astype(np.int64), rare[is_hot].ravel().astype(np.int64), mass[is_hot].astype(float),
+            others[is_hot].astype(float), covered[is_hot], of,
+        )
+        for column, v in zip(out, (part, -1, packed), strict=True):
             column.append(v)
         return pa.Table.from_batches([_rows(*out)])
 
     return run
 
 
+_RARE = [f"n{r}" for r in range(1, KATZ + 2)]
+_HOT_SUMS = ", ".join(["hot long", *(f"{c} long" for c in _RARE), "mass double", "others double", "covered double"])
+
+
 def _sum_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of hot histories, and the counts of counts as history -1."""
     for batch in batches:
         for raw in batch.column("row").to_pylist():
-            mass, covered = _unpack(raw)
+            hot, rare, mass, others, covered, of = _unpack(raw)
+            rare = np.pad(rare.reshape(-1, KATZ), ((0, 1), (0, 1)))
+            rare[-1] = of
+            columns = [np.append(hot, -1), *rare.T, *(np.append(x, 0.0) for x in (mass, others, covered))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(mass))), pa.array(mass), pa.array(covered)], names=["hot", "mass", "covered"]
+                [pa.array(np.ascontiguousarray(c)) for c in columns], names=["hot", *_RARE, "mass", "others", "covered"]
             )
 
 
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(log_back: np.ndarray, total: int):
+def _finish(discount: np.ndarray, log_back: np.ndarray, hot_bare: np.ndarray, total: int):
     """All parts' sums of one chunk to its documents' rows."""
+    weight = np.arange(1, KATZ + 1) * discount[1:]
+    logs = np.log10(discount[1:])
 
     def run(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_pylist()
         raw = table.column("row").to_pylist()
-        score = base = known = who = None
-        for i in sorted(range(len(raw)), key=parts.__getitem__):
-            s, b, k, large, doc, hot, train, ids, none, tokens = _unpack(raw[i])
-            if score is None:
-                score, base, known = np.zeros(len(s)), np.zeros(len(s)), np.zeros(len(s), np.int64)
-            score += s + np.bincount(doc, log_back[hot], len(s))
-            base += b
-            known += _whole(k, large)
-            if len(ids):
-                who = ids, none, tokens, train
+        order = sorted(range(len(raw)), key=parts.__getitem__)
+        who = next(x for x in (_unpack(raw[i])[-4:] for i in order) if len(x[0]))
         ids, none, tokens, train = who
+        score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for i in order:
+            (local, s, b, k, k_large, r, r_large, hot_doc, hot, cold_doc, cold, m, m_large, mass, count, covered,
+             change_doc, change_hot, change, *_) = _unpack(raw[i])
+            score[local] += s + _whole(r, r_large).reshape(-1, KATZ) @ logs
+            base[local] += b
+            known[local] += _whole(k, k_large)
+            score += np.bincount(hot_doc, log_back[hot], len(ids))
+            if len(cold):
+                left = 1 - (mass + _whole(m, m_large).reshape(-1, KATZ) @ weight) / count
+                score += np.bincount(cold_doc, np.log10(left / np.maximum(1 - covered, 1e-12))[cold], len(ids))
+            if len(change):
+                score += np.bincount(change_doc, np.where(hot_bare[change_hot], change, 0.0), len(ids))
         return pa.table({
             "doc_id": pa.array(ids, mask=none), "held_out": pa.array(~train), "n_tokens": pa.array(tokens),
             "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), total, np.int64)),
@@ -447,12 +454,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
     training texts every word is unknown. No documents, no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-    often = in_tasks(rows, _frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # a token takes two bytes at least, but for a text's last word and end
+    most = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 2)).first()[0] or 1
+    share = min(HOT, PART_TOKENS / 2 / most)
+    often = in_tasks(rows, _frequent(share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     size = often.where("word = 0").collect()
     if not size:
         return in_tasks(rows, lambda batches: iter(()), _OUT)
     tokens = size[0]["n"]
-    found = often.where((F.col("word") != 0) & (F.col("n") >= tokens * HOT)).orderBy("word").collect()
+    # chunks in which a word is too rare to be told leave out less than half of what makes it hot; 2 / share at most
+    found = often.where((F.col("word") != 0) & (F.col("n") >= tokens * share / 2)).orderBy("word").collect()
     hot = np.array([_START, *(np.uint64(r["word"] & (2**64 - 1)) for r in found if r["word"] != int(_END))], np.uint64)
     parts = max(1, -(-tokens // PART_TOKENS))
     word_parts = max(1, parts // 2)
@@ -469,21 +480,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for r in exact:
         hot_count[r["hot"]] = r["n"]
 
-    of, rare = np.zeros(KATZ + 1, np.int64), np.zeros(len(hot), np.int64)
-    trained = in_tasks(rows, _trained(hot, parts), _PARTS)
-    for r in trained.groupBy("part").applyInArrow(_count_pairs(len(hot)), _PARTS).collect():
-        a, b = _unpack(bytes(r["row"]))
-        of, rare = of + a, rare + b
-    discount = discounts(of.tolist())
     pairs = in_tasks(rows, _pairs(hot, parts), _PARTS).union(counted.where("part >= 0"))
-    scored = stored(pairs.groupBy("part").applyInArrow(_score(words, hot, hot_count, discount, rare == 0), _PARTS))
-    log_back = np.zeros(len(hot))
-    sums = in_tasks(scored.where("chunk < 0"), _sum_hot, "hot long, mass double, covered double")
-    for r in sums.groupBy("hot").agg(F.sum("mass").alias("mass"), F.sum("covered").alias("covered")).collect():
-        if hot_count[r["hot"]]:
-            left = max(1 - r["mass"] / hot_count[r["hot"]], 1e-12)
-            log_back[r["hot"]] = np.log10(left / max(1 - r["covered"], 1e-12))
-    return scored.where("chunk >= 0").groupBy("chunk").applyInArrow(_finish(log_back, stats[1]), _OUT)
+    scored = stored(pairs.groupBy("part").applyInArrow(_score(words, hot, hot_count), _PARTS))
+    sums = in_tasks(scored.where("chunk < 0"), _sum_hot, _HOT_SUMS)
+    found = {
+        r["hot"]: r for r in sums.groupBy("hot").agg(
+            *(F.sum(c).alias(c) for c in (*_RARE, "mass", "others", "covered"))
+        ).collect()
+    }
+    discount = discounts([found[-1][c] for c in _RARE])
+    log_back, bare = np.zeros(len(hot)), np.zeros(len(hot), bool)
+    for place, r in found.items():
+        if place >= 0 and hot_count[place]:
+            rare = [r[c] for c in _RARE[:KATZ]]
+            bare[place] = not any(rare)
+            mass = r["mass"] + sum(n * d * k for k, (n, d) in enumerate(zip(rare, discount[1:], strict=True), 1))
+            mass -= r["others"] / 2 if bare[place] else 0
+            left = max(1 - mass / hot_count[place], 1e-12)
+            log_back[place] = np.log10(left / max(1 - r["covered"], 1e-12))
+    return scored.where("chunk >= 0").groupBy("chunk").applyInArrow(_finish(discount, log_back, bare, stats[1]), _OUT)
 
 
 def _counts_of(hot: np.ndarray):

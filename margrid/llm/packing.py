@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,22 +33,22 @@ _PIECES = (
 
 def _cut(path: str, budget: int, closing: int):
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part")])
-    end = closing.to_bytes(4, "little")
+    end = np.array([closing], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 rows: list[list] = [[] for _ in schema]
                 ids = batch.column("doc_id").to_pylist()
-                for doc, packed in zip(ids, pieces.word_ids(path, batch.column("text").to_pylist()), strict=True):
-                    packed += end
-                    total = len(packed) // 4
+                for doc, packed in zip(ids, pieces.word_ids(path, batch.column("text")), strict=True):
+                    packed = np.concatenate([packed, end])
+                    total = len(packed)
                     for start in range(0, total, budget):
-                        piece = packed[4 * start:4 * (start + budget)]
-                        crc = zlib.crc32(piece)
+                        piece = packed[start:start + budget]
+                        crc = zlib.crc32(piece.tobytes())
                         # the part spreads equal lengths; it hangs on the piece alone, so a new run agrees
                         part = zlib.crc32(f"{doc}/{start}/{crc}".encode())
-                        for column, v in zip(rows, (doc, start, len(piece) // 4, crc, total, part), strict=True):
+                        for column, v in zip(rows, (doc, start, len(piece), crc, total, part), strict=True):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=schema)
 

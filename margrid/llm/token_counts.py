@@ -20,7 +20,7 @@ def _count(path: str, limit: int):
         for whole in batches:
             for batch in slices(whole):
                 text = batch.column("text")
-                tokens = pa.array(pieces.token_counts(path, text.to_pylist()), pa.int64())
+                tokens = pa.array(pieces.token_counts(path, text), pa.int64())
                 size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), size, tokens, pc.greater(tokens, limit)],
@@ -34,8 +34,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``).
 
     ``tokenizer`` is the path of a byte-level tokenizer file on every executor. Distinct pre-tokens of a
-    few MB of text at a time are counted once, kept in a bounded memo of the worker, and joined there to
-    the frequencies of each document, so nothing is shuffled and no ids are kept. Null and empty texts have
+    few MB of text at a time are numbered and their pieces counted once (a bounded memo of the worker keeps the
+    counts); rows (document, pre-token, frequency) are joined to them by number and summed in the same task, so
+    nothing is shuffled and no ids are kept. Null and empty texts have
     no tokens; repeated rows are counted each.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

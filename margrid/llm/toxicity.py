@@ -4,6 +4,10 @@ A text's terms are its distinct words and their beginnings (so that inflected wo
 ``BUCKETS`` places. The score is
 sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so pairs of words count beyond the sum of their weights.
 It is fitted on a bounded sample of the labelled rows and scores every text where it lies.
+
+Terms come into the machine by two screens: those whose own label rate is far off, and then those that are far too
+frequent in the toxic texts that the machine misses so far. The latter may be neutral alone and toxic only together;
+their factors learn that.
 """
 
 from __future__ import annotations
@@ -16,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from margrid.llm.common import in_tasks, mix, slices, stored, word_hashes
+from margrid.llm.common import CHUNK_BYTES, in_tasks, mix, slices, stored, word_hashes, workers_find_package
 
 BUCKETS = 1 << 22
 # Labelled rows that the fit may read at most (smallest hashes of doc_id first): the bound of the fit.
 SAMPLE = 16_000
 # Bytes of the word beginnings that are terms beside the whole words.
 STEMS = (4, 5, 6)
-# A bucket needs this many sampled documents, and their labels must be this many deviations off the rate of
-# all, to get weights; the others are noise that a linear or pairwise weight would learn by heart.
+# A bucket needs this many sampled documents, and a screen's rate must be this many deviations off, to get weights; the
+# others are noise that a linear or pairwise weight would learn by heart.
 LEAST_DOCUMENTS = 3
 DEVIATIONS = 4.0
 FACTORS = 4
@@ -32,10 +36,16 @@ EPOCHS = 12
 BATCH = 128
 RATE = 0.05
 DECAY = 2e-3
+FACTOR_RATE = 1.0
+SPREAD = 0.05
 THRESHOLD = 0.3
 
-# Punctuation around and inside words becomes white space, so "idiot," is "idiot".
-_CLEAN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# ASCII bytes that part words, so "idiot," is "idiot"; all but digits and letters.
+GAPS = np.zeros(256, bool)
+GAPS[:0x80] = True
+GAPS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+# Bytes of text whose terms are held at a time.
+SLICE = 2 * CHUNK_BYTES
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,15 +53,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def clean(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), _CLEAN, " ")
-
-
 def buckets_of(column: pa.Array) -> list[np.ndarray]:
     """Distinct buckets of each text."""
     terms = []
     for most in (None, *STEMS):
-        hashes, first = word_hashes(column, most)
+        hashes, first = word_hashes(column, most, GAPS)
         terms.append(mix(hashes + np.uint64(most or 0)) & np.uint64(BUCKETS - 1))
     places = np.stack(terms, axis=1).astype(np.int64)
     return [np.unique(places[first[i]:first[i + 1]]) for i in range(len(column))]
@@ -77,26 +83,11 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+def _descend(machine: Machine, rows: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> None:
     """Adaptive-gradient descent of the log loss in small batches, with decay of the weights."""
-    rng = np.random.default_rng(seed)
-    number, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, label in zip(buckets, labels, strict=True):
-        number[b] += 1
-        toxic[b] += label
-    rate = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 1e-3
-    off = np.abs(toxic - rate * number) / np.sqrt(np.maximum(number, 1) * rate * (1 - rate))
-    known = np.flatnonzero((number >= LEAST_DOCUMENTS) & (off >= DEVIATIONS))
-    name = np.full(BUCKETS, -1, np.int64)
-    name[known] = np.arange(len(known))
-    rows = [name[b][name[b] >= 0] for b in buckets]
-    bias = float(np.log(rate / (1 - rate)))
-    linear = np.zeros(len(known))
-    factors = rng.normal(0, 0.01, (len(known), FACTORS))
-    if not len(known) or not 0 < labels.sum() < len(labels):
-        return Machine(known, bias, linear, np.zeros_like(factors))
-    seen_linear = np.full(len(known), 1e-6)
-    seen_factors = np.full((len(known), FACTORS), 1e-6)
+    linear, factors, bias = machine.linear, machine.factors, machine.bias
+    seen_linear = np.full(len(linear), 1e-6)
+    seen_factors = np.full(factors.shape, 1e-6)
     seen_bias = 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
@@ -117,20 +108,60 @@ def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine
             g_linear = np.bincount(back, spread, len(touched)) / len(some) + DECAY * linear[touched] / len(order)
             pull = spread[:, None] * (np.repeat(total, sizes, axis=0) - v)
             g_factors = np.stack([np.bincount(back, pull[:, f], len(touched)) for f in range(FACTORS)], axis=1)
-            g_factors = g_factors / len(some) + DECAY * factors[touched]
+            g_factors = g_factors / len(some) + DECAY * factors[touched] / len(order)
             seen_linear[touched] += g_linear**2
             seen_factors[touched] += g_factors**2
             linear[touched] -= RATE * 4 * g_linear / np.sqrt(seen_linear[touched])
-            factors[touched] -= RATE * 0.2 * g_factors / np.sqrt(seen_factors[touched])
+            factors[touched] -= RATE * FACTOR_RATE * g_factors / np.sqrt(seen_factors[touched])
             g_bias = error.mean()
             seen_bias += g_bias**2
             bias -= RATE * g_bias / np.sqrt(seen_bias)
-    return Machine(known, bias, linear, factors)
+    machine.bias = float(bias)
+
+
+def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+    """A machine over the terms of the first screen, and if it misses toxic texts over those of both."""
+    rng = np.random.default_rng(seed)
+    number, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for b, label in zip(buckets, labels, strict=True):
+        number[b] += 1
+        toxic[b] += label
+    rate = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 1e-3
+    off = np.abs(toxic - rate * number) / np.sqrt(np.maximum(number, 1) * rate * (1 - rate))
+    wanted = (number >= LEAST_DOCUMENTS) & (off >= DEVIATIONS)
+    bias = float(np.log(rate / (1 - rate)))
+
+    def fitted() -> Machine:
+        known = np.flatnonzero(wanted)
+        name = np.full(BUCKETS, -1, np.int64)
+        name[known] = np.arange(len(known))
+        machine = Machine(known, bias, np.zeros(len(known)), rng.normal(0, SPREAD, (len(known), FACTORS)))
+        if len(known):
+            _descend(machine, [name[b][name[b] >= 0] for b in buckets], labels, rng)
+        else:
+            machine.factors[:] = 0
+        return machine
+
+    if not len(labels) or not 0 < labels.sum() < len(labels):
+        return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
+    machine = fitted()
+    missed = np.flatnonzero((machine.score(buckets) < 0.5) & (labels > 0))
+    held = np.zeros(BUCKETS)
+    for i in missed:
+        held[buckets[i]] += 1
+    # among the missed texts a term is expected at its rate in all texts
+    share = number / len(labels)
+    far = (held - len(missed) * share) / np.sqrt(np.maximum(len(missed) * share * (1 - share), 1e-9))
+    more = (held >= LEAST_DOCUMENTS) & (far >= DEVIATIONS) & ~wanted
+    if not more.any():
+        return machine
+    wanted |= more
+    return fitted()
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, most=SLICE):
             packed = [b.astype("<i4").tobytes() for b in buckets_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic"), pa.array(packed, pa.binary())],
@@ -160,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").limit(sample)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean(F.col("text")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the sample is bounded by its parameter, so every executor may hold it
     rows = rows.join(F.broadcast(stored(chosen)), "doc_id").dropDuplicates(["doc_id", "text"]).select(
         "doc_id", "text", "toxic"
@@ -170,22 +201,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return Machine(**pickle.loads(state))
 
 
-def _scored(machine: Machine):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "__clean"):
-                score = machine.score(buckets_of(batch.column("__clean")))
-                at = batch.schema.get_field_index("__clean")
-                yield batch.set_column(at, "__score", pa.array(score, pa.float64()))
+def _scorer(machine: Machine):
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [
+                machine.score(buckets_of(some.column("text")))
+                for some in slices(pa.record_batch({"text": texts}), most=SLICE)
+            ]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return run
+    return score
 
 
-def _with_score(docs: DataFrame, machine: Machine) -> DataFrame:
-    rows = docs.withColumn("__clean", clean(F.col("text")))
-    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema if f.name != "__clean"]
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in fields), "__score double"])
-    return in_tasks(rows, _scored(machine), schema)
+def _with_score(docs: DataFrame, machine: Machine, name: str) -> DataFrame:
+    """A column more; only the text goes to the Python workers, and only the score comes back."""
+    workers_find_package(docs.sparkSession)
+    return docs.withColumn(name, _scorer(machine)(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -196,13 +228,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
     machine = train(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_score(rows, machine).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
-        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
+    return _with_score(rows, machine, "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents whose score stays below the threshold, all columns kept."""
-    scored = _with_score(docs, train(docs, labels, sample))
-    return scored.where(F.col("__score") < THRESHOLD).select(docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    scored = _with_score(docs, train(docs, labels, sample), name)
+    return scored.where(F.col(name) < THRESHOLD).select(docs.columns)
