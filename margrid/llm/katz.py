@@ -29,7 +29,7 @@ from margrid.llm.common import in_tasks, mix, slices, stored, word_hashes
 # Counts up to this one are discounted, as in Katz's paper.
 KATZ = 5
 # Tokens of a part. Words of more than half as many tokens, and of this share of all, are hot histories.
-PART_TOKENS = 1_250_000
+PART_TOKENS = 1_800_000
 HOT = 0.002
 CHUNK = 8 << 20
 
@@ -56,9 +56,16 @@ def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return out
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed row; equal bytes of neighbours stand together, which numbers and ordered hashes gain by."""
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.num, len(a)))], np.int64)
-    return head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    body = b"".join(
+        np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays
+    )
+    return head.tobytes() + _ZSTD.compress(body, asbytes=True)
 
 
 _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.bool_, np.uint16, np.uint32, np.uint64, np.int64, np.float64)}
@@ -66,11 +73,16 @@ _KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.bool_, np.uint16,
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
     number = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 2 * number, 8)
-    at, out = 8 + 16 * number, []
-    for kind, length in zip(head[::2].tolist(), head[1::2].tolist(), strict=True):
-        out.append(np.frombuffer(raw, _KINDS[kind], length, at))
-        at += out[-1].nbytes
+    head = np.frombuffer(raw, np.int64, 2 * number, 8).tolist()
+    kinds = [(_KINDS[k], n) for k, n in zip(head[::2], head[1::2], strict=True)]
+    body = np.frombuffer(
+        _ZSTD.decompress(raw[8 + 16 * number:], sum(k.itemsize * n for k, n in kinds), asbytes=True), np.uint8
+    )
+    at, out = 0, []
+    for kind, length in kinds:
+        planes = body[at:at + length * kind.itemsize].reshape(kind.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
+        at += length * kind.itemsize
     return out
 
 
@@ -100,8 +112,8 @@ class Chunk:
         inner[ends] = False
         token[inner] = hashes
         token[ends] = _END
-        code, self.words = pd.factorize(token)
-        self.code = code.astype(np.int64)
+        # codes go by hash, so hashes that are sent in order of their codes are packed more tightly
+        self.words, self.code = np.unique(token, return_inverse=True)
         self.history = np.empty_like(self.code)
         self.history[1:] = self.code[:-1]
         self.history[ends - each + 1] = len(self.words)
