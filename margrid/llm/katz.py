@@ -29,9 +29,9 @@ from margrid.llm.common import in_tasks, mix, slices, stored, word_hashes
 # Counts up to this one are discounted, as in Katz's paper.
 KATZ = 5
 # Tokens of a part. Words of more than half as many tokens, and of this share of all, are hot histories.
-PART_TOKENS = 1_800_000
+PART_TOKENS = 1_500_000
 HOT = 0.002
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 
 _START, _END = np.uint64(1), np.uint64(2)
 _PARTS = "part long, chunk long, row binary"
@@ -306,7 +306,7 @@ class Words:
 def _sums_by(index: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
     """How often each rare count (1 to KATZ) stands at each index: size x KATZ numbers."""
     some = (rare > 0) & (rare <= KATZ)
-    return np.bincount(index[some] * KATZ + rare[some] - 1, minlength=size * KATZ)
+    return np.bincount(index[some].astype(np.int64) * KATZ + rare[some] - 1, minlength=size * KATZ)
 
 
 def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
@@ -328,16 +328,19 @@ def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
         rows = [_unpack(raw[i]) for i in order if numbers[i] >= 0]
         chunks = [numbers[i] for i in order if numbers[i] >= 0]
         h_code, histories = pd.factorize(np.concatenate([r[0] for r in rows]))
-        h_code = np.repeat(h_code, np.concatenate([_whole(r[1], r[2]) for r in rows]))
+        h_code = np.repeat(h_code.astype(np.int32), np.concatenate([_whole(r[1], r[2]) for r in rows]))
         w_code, vocabulary = pd.factorize(np.concatenate([r[3] for r in rows]))
+        w_code = w_code.astype(np.int32)
         places = np.concatenate([_whole(r[4], r[5]) for r in rows])
         sizes = np.array([len(r[7]) for r in rows])
         base_doc = np.cumsum(sizes) - sizes
-        doc = np.concatenate([r[6].astype(np.int64) + b for r, b in zip(rows, base_doc, strict=True)])
+        doc = np.concatenate([r[6].astype(np.int32) + np.int32(b) for r, b in zip(rows, base_doc, strict=True)])
         train = np.concatenate([r[8] for r in rows])
         seen = np.add.reduceat(train[doc].astype(np.int64), np.cumsum(places) - places)
-        code, pairs = pd.factorize(h_code * len(vocabulary) + w_code)
-        h, w = pairs // len(vocabulary), pairs % len(vocabulary)
+        rows = [(r[7], r[9:]) for r in rows]
+        code, pairs = pd.factorize(h_code.astype(np.int64) * len(vocabulary) + w_code)
+        code = code.astype(np.int32)
+        h, w = (pairs // len(vocabulary)).astype(np.int32), (pairs % len(vocabulary)).astype(np.int32)
         count = np.bincount(code, seen, len(pairs)).astype(np.int64)
         del seen, pairs
 
@@ -380,7 +383,7 @@ def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
         out: list[list] = [[], [], []]
         for i, (number, row) in enumerate(zip(chunks, rows, strict=True)):
             some = slice(base_doc[i], base_doc[i] + sizes[i])
-            local = row[7].astype(np.uint32)
+            local = row[0].astype(np.uint32)
             a, b, c = (slice(x[3][i], x[3][i + 1]) for x in (open_hot, open_cold, changed))
             met, name = np.unique(open_cold[1][b], return_inverse=True)
             packed = _pack(
@@ -389,7 +392,7 @@ def _score(words: Words, hot: np.ndarray, hot_count: np.ndarray):
                 local[open_hot[0][a] - base_doc[i]], hot_at[open_hot[1][a]].astype(np.uint32),
                 local[open_cold[0][b] - base_doc[i]], name.astype(np.uint32),
                 *_small(rare[met].ravel()), mass[met], total[met].astype(float), covered[met],
-                local[changed[0][c] - base_doc[i]], hot_at[changed[1][c]].astype(np.uint32), change[c], *row[9:],
+                local[changed[0][c] - base_doc[i]], hot_at[changed[1][c]].astype(np.uint32), change[c], *row[1],
             )
             for column, v in zip(out, (part, number, packed), strict=True):
                 column.append(v)
