@@ -8,6 +8,11 @@ A crowd of vectors so near to each other that all pairs link (within half the li
 needs no comparing: it is counted as a whole and does not shape the trees. In a leaf with many crowd rows these
 lie in blocks. Each block has a task with all rows of the leaf outside crowds, and every two blocks have a task
 where the rows of different crowds meet; crowds too far from every other one for a link stay out of the latter.
+
+Where rows lie so densely that many pairs link without all linking, any cut parts many links. Such rows are members
+of a ball around a centre that the sample shows: a ball's members don't go through the trees, but are all compared, every
+two blocks of them in a task, and with its guests, the other rows near enough for a link with a member. So no link of
+a member is missed, and a ball costs at most 1 / ``DENSE`` comparisons for each link that it holds, as the sample has it.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ COPIES = 4
 SAMPLE = 10_000
 # Crowd rows of a leaf's block.
 DEAL = 4_096
+# Share of a ball's sampled pairs that link at least; members lie within the linking angle of its centre.
+DENSE = 0.1
 _PAIR = 1 << 20
 
 
@@ -48,6 +55,8 @@ class Forest:
         apart = np.arccos(np.clip(self.centres @ self.centres.T, -1, 1))
         np.fill_diagonal(apart, np.inf)
         self.touching = (apart <= 2 * math.acos(COSINE) + 1e-6).any(axis=1)
+        self.balls, self.blocks = self._balls(sample, scale, rng)
+        sample = sample[self.ball_of(sample)[0] < 0]
         loose = sample[self.crowd_of(sample) < 0]
         least = max(LEAF / scale, 8)
         self.direction, self.low, self.high, self.child, self.roots = [], [], [], [], []
@@ -85,6 +94,41 @@ class Forest:
             left = left[~held]
         return np.array(centres).reshape(-1, self.width)
 
+    def _balls(self, sample: np.ndarray, scale: float, rng) -> tuple[np.ndarray, np.ndarray]:
+        """Centres of dense balls of more than a leaf's rows, the fullest first, and blocks of their members."""
+        centres, blocks, left = [], [], sample
+        while len(left) * scale > LEAF:
+            probes = left[rng.choice(len(left), min(len(left), 1000), replace=False)]
+            full = (probes @ left.T >= COSINE).sum(axis=1)
+            inside = left[left @ probes[full.argmax()] >= COSINE]
+            if len(inside) * scale <= LEAF or len(inside) < 8:
+                break
+            centre = inside.mean(axis=0)
+            centre /= np.linalg.norm(centre)
+            held = left @ centre >= COSINE
+            some = left[held][:1000]
+            if held.sum() < len(inside) or (some @ some.T >= COSINE).mean() < DENSE:
+                held, centre = left @ probes[full.argmax()] >= COSINE, probes[full.argmax()]
+                some = left[held][:1000]
+                if (some @ some.T >= COSINE).mean() < DENSE:
+                    break
+            centres.append(centre)
+            blocks.append(max(1, math.ceil(held.sum() * scale / DEAL)))
+            left = left[~held]
+        return np.array(centres).reshape(-1, self.width), np.array(blocks, np.int64)
+
+    def ball_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ball of which each row is a member, else -1, and whether it is a member or guest: rows x balls."""
+        if not len(self.balls) or not len(rows):
+            return np.full(len(rows), -1, np.int64), np.zeros((len(rows), len(self.balls)), bool)
+        close = rows @ self.balls.T
+        member = close >= COSINE
+        ball = np.where(member.any(axis=1), member.argmax(axis=1), -1)
+        # a guest lies within the linking angle of a member, so within twice that angle of the centre
+        near = close >= math.cos(2 * math.acos(COSINE) + 1e-6)
+        # links with members of an earlier ball are that ball's
+        return ball, near & ((ball[:, None] < 0) | (np.arange(len(self.balls)) <= ball[:, None]))
+
     def crowd_of(self, rows: np.ndarray) -> np.ndarray:
         """The nearest centre within half the linking angle, else -1: two rows of one crowd always link."""
         if not len(self.centres) or not len(rows):
@@ -171,7 +215,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _route(forest: Forest):
     """Rows (key, copies, vector) to one row for each leaf and deal, which is a pair of the leaf's blocks.
 
-    Rows outside crowds go to the deals of one block with itself, crowd rows to those of their block.
+    Balls are leaves below 0. Rows outside crowds and guests go to the deals of one block with itself, crowd rows and
+    members to those of their block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,29 +225,37 @@ def _route(forest: Forest):
                 batch = whole.slice(at, 2048)
                 rows = _matrix(batch.column("vector"), forest.width)
                 crowd, led = forest.crowd_of(rows), forest.lead(rows)
+                ball, near = forest.ball_of(rows)
+                led[ball >= 0] = -1
                 i, _, _ = spot = np.nonzero(led >= 0)
                 leaf = led[spot].astype(np.int64)
+                guest, of = np.nonzero(near)
                 # row numbers of the class keys' first digits deal crowd rows alike in every run
                 lot = np.array([int(k[:8], 16) for k in batch.column("key").to_pylist()])
-                deals = forest.deals[leaf]
-                alone = (crowd[i] >= 0) & ~np.append(forest.touching, False)[crowd[i]]
+                deals = np.concatenate([forest.deals[leaf], forest.blocks[of]])
+                held = np.concatenate([crowd[i] >= 0, ball[guest] == of])
+                i, leaf = np.concatenate([i, guest]), np.concatenate([leaf, -1 - of])
+                alone = (leaf >= 0) & (crowd[i] >= 0) & ~np.append(forest.touching, False)[crowd[i]]
                 times = np.where(alone, 1, deals)
                 again = np.repeat(np.arange(len(leaf)), times)
                 nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                own = np.where(crowd[i] >= 0, lot[i] % deals, -1)
+                own = np.where(held, lot[i] % deals, -1)
                 block = own[again]
                 nth = np.where(alone[again], block, nth)
                 block = np.where(block < 0, nth, block)
                 deal = np.minimum(block, nth) * _PAIR + np.maximum(block, nth)
                 taken = i[again]
                 bytes_ = [led[k].tobytes() for k in range(len(batch))]
-                picked = batch.select(["key", "copies", "vector"]).take(pa.array(taken))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[again]), pa.array(deal.astype(np.int64)), *picked.columns,
-                     pa.array(crowd[taken]), pa.array(block.astype(np.int64)),
-                     pa.array([bytes_[k] for k in taken], pa.binary())],
-                    names=["leaf", "deal", "key", "copies", "vector", "crowd", "block", "leaves"],
-                )
+                # what a task gets at a time stays small, however many blocks a ball has
+                for start in range(0, len(taken), 1 << 14):
+                    some = slice(start, start + (1 << 14))
+                    picked = batch.select(["key", "copies", "vector"]).take(pa.array(taken[some]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(leaf[again[some]]), pa.array(deal[some].astype(np.int64)), *picked.columns,
+                         pa.array(crowd[taken[some]]), pa.array(ball[taken[some]]), pa.array(block[some].astype(np.int64)),
+                         pa.array([bytes_[k] for k in taken[some]], pa.binary())],
+                        names=["leaf", "deal", "key", "copies", "vector", "crowd", "ball", "block", "leaves"],
+                    )
 
     return run
 
@@ -218,9 +271,9 @@ def _compare(width: int):
         keys = table.column("key").to_pylist()
         rows = _matrix(table.column("vector"), width)
         copies, crowd = table.column("copies").to_numpy(), table.column("crowd").to_numpy()
-        block = table.column("block").to_numpy()
+        block, ball = table.column("block").to_numpy(), table.column("ball").to_numpy()
         leaves = np.frombuffer(b"".join(table.column("leaves").to_pylist()), np.int32).reshape(len(rows), -1, COPIES)
-        tree = int(np.nonzero((leaves[0] == leaf).any(axis=1))[0][0])
+        tree = int(np.nonzero((leaves[0] == leaf).any(axis=1))[0][0]) if leaf >= 0 else 0
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
 
         def find(x: int) -> int:
@@ -233,21 +286,27 @@ def _compare(width: int):
             i, j = np.nonzero(rows[at:at + 512] @ rows[at:].T >= COSINE)
             i, j = i + at, j + at
             keep = (i < j) & ((crowd[i] != crowd[j]) | (crowd[i] < 0))
+            if leaf < 0:  # links of a member with members and guests
+                keep &= (ball[i] == -1 - leaf) | (ball[j] == -1 - leaf)
             if deal // _PAIR != deal % _PAIR:  # pairs inside a block belong to its own deal
                 keep &= block[i] != block[j]
-            elif deal:  # rows outside crowds stand in every block's own deal; their pairs belong to the first
+            elif deal and leaf >= 0:  # rows outside crowds stand in every block's own deal; their pairs belong to the first
                 keep &= (crowd[i] >= 0) | (crowd[j] >= 0)
             i, j = i[keep], j[keep]
-            new = np.ones(len(i), bool)
-            for t in range(tree):
-                new &= ~((leaves[i, t, :, None] == leaves[j, t, None, :]) & (leaves[i, t, :, None] >= 0)).any((1, 2))
-            shared = (leaves[i, tree, :, None] == leaves[j, tree, None, :]) & (leaves[i, tree, :, None] >= 0)
-            lowest = np.where(shared, leaves[i, tree, :, None], np.iinfo(np.int32).max).min((1, 2), initial=2**31 - 1)
-            new &= lowest == leaf
-            i, j = i[new], j[new]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if leaf >= 0:
+                new = np.ones(len(i), bool)
+                for t in range(tree):
+                    new &= ~((leaves[i, t, :, None] == leaves[j, t, None, :]) & (leaves[i, t, :, None] >= 0)).any((1, 2))
+                shared = (leaves[i, tree, :, None] == leaves[j, tree, None, :]) & (leaves[i, tree, :, None] >= 0)
+                lowest = np.where(shared, leaves[i, tree, :, None], np.iinfo(np.int32).max).min((1, 2), initial=2**31 - 1)
+                new &= lowest == leaf
+                i, j = i[new], j[new]
+            links += np.bincount(i, copies[j], len(rows)).astype(np.int64)
+            links += np.bincount(j, copies[i], len(rows)).astype(np.int64)
+            # one link for each root met is enough to unite them
+            heads = np.array([find(k) for k in range(len(rows))])
+            met = np.unique(heads[i] * len(rows) + heads[j])
+            for a, b in zip((met // len(rows)).tolist(), (met % len(rows)).tolist(), strict=True):
                 a, b = find(a), find(b)
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -280,7 +339,7 @@ def _search(rows: DataFrame, width: int, number: int, sample: int) -> tuple[Data
     forest = Forest(_matrix(pa.array(vectors, pa.binary()), width) if vectors else np.empty((0, width)), number)
     routed = in_tasks(
         rows.select("key", "copies", "vector"), _route(forest),
-        "leaf long, deal long, key string, copies long, vector binary, crowd long, block long, leaves binary",
+        "leaf long, deal long, key string, copies long, vector binary, crowd long, ball long, block long, leaves binary",
     )
     met = stored(routed.groupBy("leaf", "deal").applyInArrow(_compare(width), "key string, links long, root string"))
     links = met.select("key", "links")

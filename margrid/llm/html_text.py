@@ -3,7 +3,9 @@
 A page is a sequence of words and tags. Words score 1, tags score below 0 by how often they stand outside the
 article on labelled pages (pages whose markup names one article); one scan finds the contiguous stretch with
 the greatest sum, and the blocks of that stretch are the text. Elements that are never article text (menus,
-forms, scripts, adverts, comments and so on) are passed over with all they hold.
+forms, scripts, adverts, comments and so on) are passed over with all they hold, unless such a form or marked
+element holds nearly all words of the page: then it wraps the article. Marks are whole class words or ids, so that a
+layout named after its sidebar is no sidebar; class words that only contain a mark weigh on the scan.
 """
 
 from __future__ import annotations
@@ -42,13 +44,19 @@ INLINE = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ARTICLE = {"article", "main"}
+# Elements that are apart whatever share of the words they hold.
+ALWAYS = APART - {"form"}
+# Share of the page's words from which on a form or a marked element wraps the page.
+WRAPS = 0.8
+# What a tag costs more whose class words contain a mark.
+HINT = -4.0
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*)(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_MARK = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 # Kinds of events: a piece of text, or a tag with its kind; apart is true in elements that are passed over.
@@ -62,7 +70,7 @@ def _attributes(rest: str) -> tuple[set[str], set[str]]:
         if found[1].lower() == "role":
             roles.update(value.split())
         else:
-            marks.update(_MARK.findall(value))
+            marks.update(value.split())
     return marks, roles
 
 
@@ -94,7 +102,8 @@ def tokens(page: str) -> list[tuple[str, str, str, bool]]:
         apart = name not in VOID and name not in ARTICLE | {"body", "html"} and bool(
             name in APART or marks & MARKS or roles & ROLES
         )
-        kind = name if not marks else f"{name}.{min(marks)}"
+        parts = {part for mark in marks for part in _PART.findall(mark)}
+        kind = name if not marks else f"{name}.{min(parts & MARKS or parts or marks)}"
         out.append(("", name, kind, apart))
     return out
 
@@ -103,9 +112,12 @@ def _passed(page: list[tuple[str, str, str, bool]]) -> list[bool]:
     """Which tokens lie in (or bound) an element that is passed over.
 
     Such an element ends at its own closing tag; where that is missing, before the next article, heading or
-    paragraph.
+    paragraph. A form or marked element that holds ``WRAPS`` of the words is not passed over, only what it holds.
     """
     out = [False] * len(page)
+    words = [0]
+    for text, _, _, _ in page:
+        words.append(words[-1] + len(text.split()))
     i = 0
     while i < len(page):
         if not page[i][3]:
@@ -124,6 +136,9 @@ def _passed(page: list[tuple[str, str, str, bool]]) -> list[bool]:
             end = next(
                 (j for j in range(i + 1, len(page)) if page[j][1] in ARTICLE | {"h1", "p", "body"}), len(page)
             )
+        if name not in ALWAYS and words[end] - words[i] >= max(WRAPS * words[-1], 1):
+            i += 1
+            continue
         out[i:end] = [True] * (end - i)
         i = end
     return out
@@ -141,7 +156,7 @@ class Weights:
                 share = (n_out + 0.5) / (n_in + n_out + 1.0)
                 self.score[kind] = -0.05 - self.far * share**2
         # where no labelled page has a tag, blocks cost little and lists and tables more
-        self.unseen = {"li": -2.0, "ul": -4.0, "ol": -2.0, "table": -2.0, "td": -0.5, "tr": -0.5}
+        self.unseen = {"ul": -1.0, "ol": -1.0, "table": -2.0}
 
     def of(self, kind: str, name: str) -> float:
         for k in (kind, kind.partition(".")[0]):
@@ -149,6 +164,8 @@ class Weights:
                 return self.score[k]
         if name in ARTICLE or name in ("body", "html"):
             return -self.far
+        if kind.partition(".")[2] in MARKS:
+            return HINT
         return self.unseen.get(name, -0.2 if name in INLINE else -0.5)
 
 

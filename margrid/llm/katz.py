@@ -29,7 +29,7 @@ from margrid.llm.common import in_tasks, mix, slices, stored, word_hashes
 # Counts up to this one are discounted, as in Katz's paper.
 KATZ = 5
 # Tokens of a part. Words of more than half as many tokens, and of this share of all, are hot histories.
-PART_TOKENS = 1_500_000
+PART_TOKENS = 2_000_000
 HOT = 0.002
 CHUNK = 5 << 20
 
@@ -244,7 +244,7 @@ def _count_words(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = [_unpack(r) for r in table.column("row").to_pylist()]
-        code, words = pd.factorize(np.concatenate([r[0] for r in rows]))
+        words, code = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
         trained = np.concatenate([_whole(r[1], r[2]) for r in rows])
         count = np.bincount(code, trained, len(words)).astype(np.int64)
         asked = np.concatenate([_whole(r[3], r[4]) for r in rows])

@@ -37,7 +37,7 @@ def _cut(path: str, budget: int, closing: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=pieces.SLICE):
                 rows: list[list] = [[] for _ in schema]
                 ids = batch.column("doc_id").to_pylist()
                 for doc, packed in zip(ids, pieces.word_ids(path, batch.column("text")), strict=True):

@@ -18,7 +18,7 @@ LIMIT = 512
 def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=pieces.SLICE):
                 text = batch.column("text")
                 tokens = pa.array(pieces.token_counts(path, text), pa.int64())
                 size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())

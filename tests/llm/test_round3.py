@@ -256,3 +256,61 @@ def test_popcounts_are_exact():
         assert sums[i, -1] == sum(v[i] - low[i] for v in x)
         for j in range(i, 2):
             assert sums[i, j] == sum((v[i] - low[i]) * (v[j] - low[j]) for v in x)
+
+
+WORDS = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='layout has-sidebar'>", "</div>"), ("<div class='header-fixed site'>", "</div>"),
+    ("<section class='page with-comments'>", "</section>"), ("<div id='social-history'>", "</div>"),
+    ("<form action=/x>", "</form>"), ("<div class='sidebar'>", "</div>"), ("<p title=it's>", "</p>"), ('<p title=5">', "</p>"),
+])
+def test_wrapped_articles_stay(open_, close):
+    from margrid.llm.html_text import Weights, extract
+
+    page = f"<html><body><nav><a>Home</a> <a>About</a></nav>{open_}<p>{WORDS}</p>{close}<footer>small print</footer></body></html>"
+    assert extract(page, Weights({}, {}, 0)) == WORDS
+
+
+def test_lists_stay_and_marked_parts_go():
+    from margrid.llm.html_text import Weights, extract
+
+    items = "".join(f"<li>item number {i}</li>" for i in range(10))
+    page = (
+        f"<body><div class='post no-sidebar'><p>{WORDS}</p><ul>{items}</ul></div>"
+        f"<div class='comments'><p>nice words of a reader</p></div><div class='sidebar'>other things</div></body>"
+    )
+    assert extract(page, Weights({}, {}, 0)) == WORDS + " " + " ".join(f"item number {i}" for i in range(10))
+
+
+def _links(vectors, of):
+    """True links and components of the rows ``of`` by brute force, in blocks."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return (unit[of] @ unit.T >= 0.95).sum(axis=1) - 1
+
+
+@pytest.mark.parametrize("rows", [30_000, 100_000])
+def test_embedding_recall_of_loose_groups(spark, rows, tmp_path):
+    """A third of the rows in one group whose members link at about 0.96: too loose for a crowd."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from margrid.llm.embed_dedup import embedding_duplicates
+
+    rng = np.random.default_rng(rows)
+    dims, hot = 32, rows // 3
+    vectors = rng.normal(size=(rows, dims))
+    centre = vectors[0] / np.linalg.norm(vectors[0])
+    vectors[:hot] = centre + rng.normal(scale=math.sqrt((1 / 0.96 - 1) / dims), size=(hot, dims))
+    twins = np.arange(hot, hot + 2000)
+    vectors[twins] = vectors[twins + 2000] + rng.normal(scale=0.15, size=(2000, dims))
+    table = {"vec_id": np.arange(rows), "embedding": pa.FixedSizeListArray.from_arrays(vectors.ravel(), dims).cast(pa.list_(pa.float64()))}
+    pq.write_table(pa.table(table), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet").repartition(16)
+    got = embedding_duplicates(df).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"]
+    for some in (rng.choice(hot, 300, replace=False), twins[:300]):
+        true = _links(vectors, some)
+        found = got.loc[some].to_numpy()
+        assert true.sum() > 0 and (found <= true).all()
+        assert found.sum() >= 0.9 * true.sum(), found.sum() / true.sum()
