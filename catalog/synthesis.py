@@ -16,6 +16,7 @@ from margrid.operators import marginals as M
 from margrid.operators import noise as G
 from margrid.operators import select as S
 from margrid.operators.fit import blend_ci
+from margrid.plans import adaptive as A
 from margrid.plans import grid as P
 from margrid.plans import sampling as N
 from margrid.plans import synthesis as Y
@@ -219,19 +220,19 @@ _SMALL = ORDER_DOMAIN.project(["status", "prio", "price"])
 
 @query("aim_synthesize")
 def aim_synthesize(spark, sf):
-    rows, _ = Y.aim_synthesize(orders(spark, sf), _SMALL, 10.0, DELTA, rounds=4, fit_rounds=4, seed="aim")
+    rows, _ = A.aim_synthesize(orders(spark, sf), ORDER_DOMAIN, 10.0, DELTA, rounds=16, seed="aim")
     return rows
 
 
 @query("mwem_synthesize")
 def mwem_synthesize(spark, sf):
-    rows, _ = Y.mwem_synthesize(orders(spark, sf), _SMALL, 10.0, DELTA, rounds=3, fit_rounds=4, seed="mwem")
+    rows, _ = A.mwem_synthesize(orders(spark, sf), ORDER_DOMAIN, 10.0, DELTA, seed="mwem")
     return rows
 
 
 @query("mwem_laplace")
 def mwem_laplace(spark, sf):
-    rows, _ = Y.mwem_synthesize(orders(spark, sf), _SMALL, 10.0, DELTA, rounds=2, fit_rounds=4, noise="laplace", bounded=True, seed="mweml")
+    rows, _ = A.mwem_synthesize(orders(spark, sf), ORDER_DOMAIN, 10.0, DELTA, noise="laplace", bounded=True, seed="mweml")
     return rows
 
 
