@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 
 from margrid.llm.common import CHUNK_BYTES, SPACE
 
-# Stretches that one worker remembers, at most about 0.1 GB; the memo starts anew beyond it.
-MEMO = 400_000
+# Stretches that one worker remembers, at most about 40 MB; the memo starts anew beyond it.
+MEMO = 150_000
 # Bytes of text whose stretches are numbered at a time.
-SLICE = 4 * CHUNK_BYTES
+SLICE = 2 * CHUNK_BYTES
 
 # Letters that stay one pre-token, and one letter each, under any of the libraries' normalizers, and marks after them.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]*"
