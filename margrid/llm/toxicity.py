@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from margrid.llm.common import CHUNK_BYTES, in_tasks, mix, slices, stored, word_hashes, workers_find_package
+from margrid.llm.common import CHUNK_BYTES, giving_back, in_tasks, mix, slices, stored, word_hashes, workers_find_package
 
 BUCKETS = 1 << 22
 # Labelled rows that the fit may read at most (smallest hashes of doc_id first): the bound of the fit.
@@ -202,8 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 
 def _scorer(machine: Machine):
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [
                 machine.score(buckets_of(some.column("text")))
@@ -211,6 +210,10 @@ def _scorer(machine: Machine):
             ]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return giving_back(scores)(batches)
+
     return score
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from margrid.llm import periodic, queries, whitening
+from margrid.llm.common import giving_back
 from margrid.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -314,3 +315,22 @@ def test_embedding_recall_of_loose_groups(spark, rows, tmp_path):
         found = got.loc[some].to_numpy()
         assert true.sum() > 0 and (found <= true).all()
         assert found.sum() >= 0.9 * true.sum(), found.sum() / true.sum()
+
+
+def test_giving_back_passes_all_results_on():
+    """Every result arrives in order, whether or not the reader stops early, and the work is closed then."""
+    closed = []
+
+    def work(batches):
+        try:
+            yield from (b * 2 for b in batches)
+        finally:
+            closed.append(True)
+
+    assert list(giving_back(work)(iter(range(5)))) == [0, 2, 4, 6, 8]
+    assert list(giving_back(work)(iter(()))) == []
+    some = giving_back(work)(iter(range(5)))
+    assert next(some) == 0
+    some.close()
+    del some
+    assert closed == [True] * 3
