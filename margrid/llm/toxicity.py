@@ -45,7 +45,7 @@ GAPS = np.zeros(256, bool)
 GAPS[:0x80] = True
 GAPS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 # Bytes of text whose terms are held at a time.
-SLICE = 2 * CHUNK_BYTES
+SLICE = CHUNK_BYTES
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,18 +122,18 @@ def _descend(machine: Machine, rows: list[np.ndarray], labels: np.ndarray, rng:
 def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """A machine over the terms of the first screen, and if it misses toxic texts over those of both."""
     rng = np.random.default_rng(seed)
-    number, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    number, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for b, label in zip(buckets, labels, strict=True):
         number[b] += 1
-        toxic[b] += label
+        toxic[b] += int(label)
     rate = min(max(labels.mean(), 1e-3), 1 - 1e-3) if len(labels) else 1e-3
-    off = np.abs(toxic - rate * number) / np.sqrt(np.maximum(number, 1) * rate * (1 - rate))
-    wanted = (number >= LEAST_DOCUMENTS) & (off >= DEVIATIONS)
+    often = np.flatnonzero(number >= LEAST_DOCUMENTS)
+    off = np.abs(toxic[often] - rate * number[often]) / np.sqrt(number[often] * rate * (1 - rate))
+    wanted = often[off >= DEVIATIONS]
     bias = float(np.log(rate / (1 - rate)))
 
-    def fitted() -> Machine:
-        known = np.flatnonzero(wanted)
-        name = np.full(BUCKETS, -1, np.int64)
+    def fitted(known: np.ndarray) -> Machine:
+        name = np.full(BUCKETS, -1, np.int32)
         name[known] = np.arange(len(known))
         machine = Machine(known, bias, np.zeros(len(known)), rng.normal(0, SPREAD, (len(known), FACTORS)))
         if len(known):
@@ -144,19 +144,19 @@ def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine
 
     if not len(labels) or not 0 < labels.sum() < len(labels):
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    machine = fitted()
+    machine = fitted(wanted)
     missed = np.flatnonzero((machine.score(buckets) < 0.5) & (labels > 0))
-    held = np.zeros(BUCKETS)
+    held = np.zeros(BUCKETS, np.int32)
     for i in missed:
         held[buckets[i]] += 1
     # among the missed texts a term is expected at its rate in all texts
-    share = number / len(labels)
-    far = (held - len(missed) * share) / np.sqrt(np.maximum(len(missed) * share * (1 - share), 1e-9))
-    more = (held >= LEAST_DOCUMENTS) & (far >= DEVIATIONS) & ~wanted
-    if not more.any():
+    often = np.flatnonzero(held >= LEAST_DOCUMENTS)
+    share = number[often] / len(labels)
+    far = (held[often] - len(missed) * share) / np.sqrt(np.maximum(len(missed) * share * (1 - share), 1e-9))
+    more = np.setdiff1d(often[far >= DEVIATIONS], wanted)
+    if not len(more):
         return machine
-    wanted |= more
-    return fitted()
+    return fitted(np.union1d(wanted, more))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [(r["doc_id"], r["toxic"], r["buckets"]) for batch in batches for r in batch.to_pylist()]
     rows.sort()
     model = fit(
-        [np.frombuffer(b, "<i4").astype(np.int64) for _, _, b in rows], np.array([t for _, t, _ in rows], float)
+        [np.frombuffer(b, "<i4") for _, _, b in rows], np.array([t for _, t, _ in rows], float)
     )
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.__dict__)], pa.binary())], names=["model"])
 
