@@ -259,7 +259,7 @@ def budget_ledger(
 
     ``piece`` is a coarse, order-preserving cut of ``order`` (a day, a month): totals of earlier
     pieces offset the running sum inside a piece, so an owner with most of the releases is not
-    one task.
+    one task.  A release of budget 0 is accepted with infinite noise.
     """
     rows = spends.withColumns({"__o": order, "__p": piece})
     inside = Window.partitionBy(owner, "__p").orderBy("__o", *ties).rowsBetween(Window.unboundedPreceding, 0)
@@ -275,7 +275,7 @@ def budget_ledger(
         used.alias("rho_used"),
         left.alias("rho_left"),
         (used <= F.lit(float(limit))).alias("accepted"),
-        F.sqrt(F.lit(0.5) / F.col(rho)).alias("sigma"),
+        F.when(F.col(rho) == 0, F.lit(math.inf)).otherwise(F.sqrt(F.lit(0.5) / F.col(rho))).alias("sigma"),
         F.sqrt(F.lit(8.0) * F.col(rho)).alias("epsilon"),
     )
 

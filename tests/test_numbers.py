@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from margrid.functions import hashing as H
 from margrid.functions.tails import chi2_sf, f_sf, normal_two_sided, t_two_sided
 from margrid.operators.ci import _hypergeometric
+from margrid.operators import noise as G
 from margrid.operators.noise import zcdp_delta, zcdp_epsilon, zcdp_rho, clique_weights, laplace_scale
 
 
@@ -80,3 +81,12 @@ def test_large_hypergeometric_matches_moments():
     sd = math.sqrt(mean * bad / (good + bad) * (good + bad - draws) / (good + bad - 1))
     assert abs(x.mean() - mean) < 4 * sd / math.sqrt(300)
     assert 0.8 < x.std() / sd < 1.2
+
+
+def test_budget_ledger_takes_releases_of_nothing(spark):
+    """A release that spends nothing has infinite noise; it neither fails nor ends the owner's budget."""
+    spends = spark.createDataFrame([(1, 7, 1, 0.0), (2, 7, 2, 0.5), (3, 7, 3, None)], "id long, who long, t long, rho double")
+    out = G.budget_ledger(spends, "who", F.col("t"), F.col("t"), "rho", 0.5, ["id"])
+    got = {r["id"]: (r["rho_used"], r["accepted"], r["sigma"], r["epsilon"]) for r in out.where("id < 3").collect()}
+    assert got == {1: (0.0, True, float("inf"), 0.0), 2: (0.5, True, 1.0, 2.0)}
+    assert out.where("id = 3").first()["sigma"] is None
