@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from margrid.domain import Domain
 from margrid.operators.factors import eliminate
 from margrid.operators.marginals import clique_chunks, clique_name
-from margrid.session import bounded, cut
+from margrid.session import bounded, settled
 
 # Step sizes that one job tries, as powers of two of the last one.
 TRIES = tuple(range(-3, 5))
@@ -169,7 +169,7 @@ def calibrate(tree: CliqueTree, potentials: DataFrame, tries: int = 1) -> DataFr
             kids[-1][tree.cliques[tree.parent[i]]].append((names[i], tree.separator(i)))
     sizes = [tries * sum(domain.size(tree.separator(i)) for i in ids) for ids in tree.levels[1:]]
     # messages are read by both passes; the plan of a deep tree would repeat them again and again
-    kept = cut if len(level) > 2 else lambda messages: messages
+    kept = settled if len(level) > 2 else lambda messages: messages
     ups: list[DataFrame] = []
     for d in range(len(level) - 1, 0, -1):
         up = _folded(level[d], domain, own[d - 1], F.exp("b"), "s").select("try", "part", "pcell", _log(F.col("s")).alias("m"))
@@ -291,7 +291,7 @@ def fit_cliques(
         homes[tree.cliques[tree.home(c)]].append((clique_name(c), c))
     grid = clique_chunks(spark, domain, tree.cliques).withColumn("b", F.lit(0.0))
     if not cliques:
-        return CliqueModel(tree, cut(calibrate(tree, grid.withColumn("try", F.lit(0))).drop("try")), float(total), None, [])
+        return CliqueModel(tree, settled(calibrate(tree, grid.withColumn("try", F.lit(0))).drop("try")), float(total), None, [])
     parameters = sum(domain.size(c) for c in cliques)
     sizes = F.create_map(*[F.lit(v) for c in cliques for v in (clique_name(c), 1.0 / domain.size(c))])
     mine = measured.where(F.col("clique").isin([clique_name(c) for c in cliques]))
@@ -320,7 +320,7 @@ def fit_cliques(
             tops.setdefault(r["try"], {})[r["part"]] = r["top"]
         return loss, tops
 
-    state = cut(state.withColumn("try", F.lit(0)))
+    state = settled(state.withColumn("try", F.lit(0)))
     found, top = losses(state)
     history, tops, step, held = [found[0]], top[0], 1.0, None
     for _ in range(rounds):
@@ -334,9 +334,9 @@ def fit_cliques(
         )
         keyed = grid.withColumn("try", F.explode(F.array(*[F.lit(t) for t in range(len(steps))])))
         weights = tried.select("try", "part", "pcell", "lam")
-        marginals = cut(calibrate(tree, _lifted(keyed, domain, homes, weights, len(steps) * parameters, "lam"), len(steps)))
+        marginals = settled(calibrate(tree, _lifted(keyed, domain, homes, weights, len(steps) * parameters, "lam"), len(steps)))
         hats = _folded(marginals, domain, homes, F.col("value"), "hat")
-        tried = cut(tried.join(bounded(hats, len(steps) * parameters), ["try", "part", "pcell"]))
+        tried = settled(tried.join(bounded(hats, len(steps) * parameters), ["try", "part", "pcell"]))
         found, top = losses(tried)
         chosen = min(found, key=lambda t: (found[t], t))
         if not found[chosen] < history[-1]:
@@ -352,5 +352,5 @@ def fit_cliques(
     weights = state.select("part", "pcell", "lam")
     if held is None:
         keyed = _lifted(grid.withColumn("try", F.lit(0)), domain, homes, weights.withColumn("try", F.lit(0)), parameters, "lam")
-        held = cut(calibrate(tree, keyed))
+        held = settled(calibrate(tree, keyed))
     return CliqueModel(tree, held.drop("try"), float(total), weights, history)

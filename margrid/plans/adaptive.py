@@ -18,7 +18,7 @@ from margrid.operators.marginals import (
 )
 from margrid.operators.noise import gaussian_measure, laplace_measure, zcdp_rho
 from margrid.plans.sampling import draw_child
-from margrid.session import cut
+from margrid.session import settled
 
 Clique = tuple[str, ...]
 
@@ -82,7 +82,7 @@ class Release:
         truth = grid.join(sums, ["clique", "cell"], "left").select(
             "clique", "cell", F.coalesce("value", F.lit(0.0)).alias("value")
         )
-        return cls(cut(truth), domain, total, fit_rounds)
+        return cls(settled(truth), domain, total, fit_rounds)
 
     def fits(self, clique: Clique, cells: float) -> bool:
         """Whether a model with this clique stays within a number of cells; what the tree holds already always does."""
@@ -100,7 +100,7 @@ class Release:
         if self.measured is not None:
             noisy = noisy.unionByName(self.measured)
         w = F.lit(1.0) / (F.col("stddev") * F.col("stddev"))
-        self.measured = cut(noisy.groupBy("clique", "cell").agg(
+        self.measured = settled(noisy.groupBy("clique", "cell").agg(
             (F.sum(F.col("noisy") * w) / F.sum(w)).alias("noisy"), F.sqrt(F.lit(1.0) / F.sum(w)).alias("stddev")
         ))
         self.taken += [c for c in cliques if c not in self.taken]
@@ -158,7 +158,7 @@ def aim_synthesize(
     weight = {clique_name(c): float(sum(len(set(c) & set(w)) for w in base)) for c in candidates}
     ledger = Ledger(zcdp_rho(epsilon, delta))
     pace = Pace.over(ledger.rho, rounds or 16 * len(domain.attrs))
-    release = Release.of(cut(joint_counts(df, domain)), domain, candidates, 1.0, fit_rounds)
+    release = Release.of(settled(joint_counts(df, domain)), domain, candidates, 1.0, fit_rounds)
 
     singles = [c for c in candidates if len(c) == 1]
     one = {clique_name(c): 1.0 for c in singles}
@@ -202,7 +202,7 @@ def mwem_synthesize(
         pace = Pace.over(zcdp_rho(epsilon, delta), rounds, alpha)
         scale, eps = pace.sigma, pace.eps
     far = {"laplace": 2.0, "gaussian": math.sqrt(2.0)}[noise] if bounded else 1.0
-    joint = cut(joint_counts(df, domain))
+    joint = settled(joint_counts(df, domain))
     total = float(joint.agg(F.sum("n")).first()[0] or 0.0) if bounded else 1.0
     release = Release.of(joint, domain, base, max(total, 1.0), fit_rounds)
     release.refit()

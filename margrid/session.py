@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut lineage through files in the checkpoint folder, for small tables that loops come back to.
+
+    A checkpoint keeps the constraints of the plan it came from, and each round of a loop multiplies them until planning
+    takes longer than all jobs; files keep none.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """Mark a side for broadcast when its row bound, known from domain sizes, is small.
 

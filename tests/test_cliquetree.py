@@ -100,3 +100,12 @@ def test_mwem_measures_the_worst(spark, sf):
     assert len(order) == 2
     assert rows.count() == o.count()
     assert validate_domain(rows, ORDER_DOMAIN).agg(F.sum("bad_rows")).first()[0] == 0
+
+
+def test_rounds_leave_no_constraints_behind(spark):
+    """Every round plans like the first: what the last one's plan knew of its columns is not carried on."""
+    rows = [("a,d", k, float(v), 1.0) for k, v in enumerate([40, 10, 25, 25])]
+    measured = spark.createDataFrame(rows, "clique string, cell long, noisy double, stddev double")
+    model = fit_cliques(measured, TOY.project(["a", "d"]), [("a", "d")], 100.0, rounds=3, tolerance=0.0)
+    for table in (model.marginals, model.weights):
+        assert table._jdf.queryExecution().optimizedPlan().constraints().size() <= 4
