@@ -13,7 +13,10 @@ from margrid.operators.factors import attrs_of, eliminate, tree_factors
 from margrid.operators.fit import TreeModel, cumulative
 from margrid.operators.noise import interval_assign, round_counts
 from margrid.operators.ranking import hash_order_number, running_total
-from margrid.session import bounded, cut
+from margrid.session import bounded, settled, shuffle_width
+
+# Pieces of the hash order in which rounded draws look for the ends of codes: of a parent group, and of all together.
+_MOST_PIECES, _ALL_PIECES = 1 << 12, 1 << 18
 
 
 def pick(cdf: Column, mass: Column, u: Column) -> Column:
@@ -52,13 +55,19 @@ def deal_child(
 ) -> DataFrame:
     """Add a column with rounded counts per parent group instead of independent draws.
 
-    The rows of a parent group are numbered by hash order in pieces and take codes by the
-    running total of the group's rounded counts.  Rows are read several times, so they are cut
-    first; independent draws need no such step and are the better choice for very many rows.
+    The rows of a parent group take codes in hash order by the running total of the group's rounded counts.  Hash order
+    is cut into pieces; their sizes give the code of every piece but those in which a code ends, and only the rows of
+    these are ranked.  Rows look their piece up where they lie.  They are read three times, so they are stored first with
+    their place in hash order; independent draws need no such step.
     """
     parents = list(parents)
-    rows = cut(rows)
-    sizes = rows.groupBy(*parents).agg(F.count(F.lit(1)).cast("double").alias("want"))
+    pieces = max(shuffle_width(rows.sparkSession), min(_MOST_PIECES, _ALL_PIECES // domain.size(parents)))
+    u = uniform(f"{seed}/deal/{child}", key)
+    placed = settled(rows.withColumn("__u", u))
+    placed = placed.withColumn("__piece", F.floor(F.col("__u") * F.lit(pieces)).cast("int"))
+    keys = [*parents, "__piece"]
+    held = settled(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    sizes = held.groupBy(*parents).agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("double").alias("want"))
     live = table.groupBy(*parents).agg(F.sum("value").alias("__m"))
     own = table.groupBy(child).agg(F.sum("value").alias("__own"))
     if parents:
@@ -72,13 +81,44 @@ def deal_child(
     else:
         dense = table.withColumn("want", sizes.select("want").scalar())
     whole = round_counts(dense.select(*parents, child, "value", "want"), parents, child, "value", f"{seed}/{child}", "want")
-    ends = cumulative(whole, parents, child, "rounded").drop("mass")
-    numbered = hash_order_number(rows, parents, uniform(f"{seed}/deal/{child}", key), [key], "__rn")
-    cells = domain.size([*parents, child])
-    joined = numbered.join(bounded(ends, cells), parents) if parents else numbered.withColumn("cdf", ends.select("cdf").scalar())
-    at = F.filter("cdf", lambda s: s["cum"] >= F.col("__rn"))
-    code = F.coalesce(F.get(at, 0), F.element_at("cdf", -1))["key"]
-    return joined.withColumn(child, code).drop("cdf", "__rn")
+    ends = settled(cumulative(whole, parents, child, "rounded").drop("mass"))
+    with_ends = lambda t: (
+        t.join(bounded(ends, domain.size([*parents, child])), parents) if parents
+        else t.withColumn("cdf", ends.select("cdf").scalar())
+    )
+    # pieces of one code, and those in which a code ends
+    before = Window.partitionBy(*parents).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    spans = with_ends(held.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    first, last = _at_rank(F.col("__before") + 1), _at_rank(F.col("__before") + F.col("__n"))
+    spans = settled(spans.select(*keys, "__before", first.alias("__code"), last.alias("__last")))
+    mixed = spans.where(F.col("__code") != F.col("__last")).select(*keys, "__before")
+    wanted = [r[0] for r in mixed.select("__piece").distinct().collect()]
+    cells = domain.size(parents) * pieces
+    place = F.struct(F.col("__u").alias("u"), F.col(key).alias("key"))
+    ranked = with_ends(
+        placed.where(F.col("__piece").isin(wanted)).join(bounded(mixed, cells), keys).withColumn(
+            "__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("__u", key)) + F.col("__before")
+        )
+    ).withColumn("__code", _at_rank(F.col("__rn")))
+    steps = settled(ranked.groupBy(*keys, "__code").agg(F.min(place).alias("__from"), F.max(place).alias("__to")))
+    ahead = F.lag("__to").over(Window.partitionBy(*keys).orderBy("__code"))
+    if not steps.select(ahead.eqNullSafe(F.col("__from")).alias("tied")).where("tied").isEmpty():
+        # rows with one key stand on both sides of an end: only their ranks tell them apart
+        numbered = hash_order_number(placed.select(*rows.columns, "__u"), parents, F.col("__u"), [key], "__rn")
+        return with_ends(numbered).withColumn(child, _at_rank(F.col("__rn"))).drop("cdf", "__rn", "__u")
+    steps = steps.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("__to").alias("to"), F.col("__code").alias("code")))).alias("__steps")
+    )
+    pure = F.when(F.col("__code") == F.col("__last"), F.col("__code")).alias("__pure")
+    codes = settled(spans.select(*keys, pure).join(steps, keys, "left"))
+    upto = F.filter("__steps", lambda s: s["to"] >= place)
+    joined = placed.join(bounded(codes, cells), keys)
+    return joined.select(*rows.columns, F.coalesce("__pure", F.get(upto, 0)["code"]).alias(child))
+
+
+def _at_rank(rank: Column) -> Column:
+    """Key of the first step of an array of running totals that reaches a rank."""
+    return F.coalesce(F.get(F.filter("cdf", lambda s: s["cum"] >= rank), 0), F.element_at("cdf", -1))["key"]
 
 
 def sample_tree(

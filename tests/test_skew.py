@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from margrid.domain import Domain
 from margrid.functions.hashing import uniform
 from margrid.operators.noise import interval_assign, weighted_sample
 from margrid.operators.ranking import dense_codes, hash_order_number, key_order_number, running_total
+from margrid.plans.sampling import deal_child
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,19 @@ def test_weighted_sample_follows_weights(spark):
     assert sum(share.values()) == pytest.approx(1.0)
     assert share[4] == pytest.approx(5 / 14, abs=0.02)
     assert all(share[i] == pytest.approx(1 / 14, abs=0.02) for i in range(10) if i != 4)
+
+
+def test_rounded_draws_follow_hash_order_without_ranking_all_rows(spark):
+    """Codes as by the rank of every row in its group, from a plan that neither sorts nor shuffles rows; ties are split."""
+    domain = Domain.of({"a": 2, "b": 3})
+    table = spark.createDataFrame([(0, 0, 5.0), (0, 1, 3.0), (0, 2, 2.0), (1, 0, 0.0), (1, 1, 1.0), (1, 2, 9.0)], "a int, b int, value double")
+    rows = spark.range(2000).select("id", F.when(F.col("id") < 300, 1).otherwise(0).alias("a"))
+    got = deal_child(rows, table, ["a"], "b", "s", domain)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(uniform("s/deal/b", "id"), "id"))
+    want = F.when(F.col("a") == 0, F.when(rank <= 850, 0).when(rank <= 1360, 1).otherwise(2)).otherwise(F.when(rank <= 30, 1).otherwise(2))
+    _same(got, rows.withColumn("b", want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    twice = deal_child(rows.withColumn("id", F.col("id") % 2), table, ["a"], "b", "s", domain)
+    counts = {(r["a"], r["b"]): r["count"] for r in twice.groupBy("a", "b").count().collect()}
+    assert counts == {(0, 0): 850, (0, 1): 510, (0, 2): 340, (1, 1): 30, (1, 2): 270}
