@@ -8,17 +8,19 @@ tables keyed by clique and cell, bounded by the number of cells of the tree.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from margrid.domain import Domain
 from margrid.operators.factors import eliminate
 from margrid.operators.marginals import clique_chunks, clique_name
-from margrid.session import bounded, settled
+from margrid.session import BROADCAST_ROWS, bounded, settled
 
 # Step sizes that one job tries, as powers of two of the last one.
 TRIES = tuple(range(-3, 5))
@@ -26,6 +28,8 @@ _FLOOR = 1e-300
 Clique = tuple[str, ...]
 # Parts of a cell that are joined one by one.
 SLOTS = 6
+# Trees of at most this many cells are fitted inside tasks.
+TASK_CELLS = BROADCAST_ROWS
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,11 @@ class CliqueTree:
     def separator(self, i: int) -> tuple[str, ...]:
         return tuple(a for a in self.cliques[i] if a in self.cliques[self.parent[i]])
 
+    def root(self, i: int) -> int:
+        while self.parent[i] >= 0:
+            i = self.parent[i]
+        return i
+
     def home(self, clique: Sequence[str]) -> int | None:
         """The smallest clique that holds these attributes."""
         fits = [i for i, c in enumerate(self.cliques) if set(clique) <= set(c)]
@@ -272,6 +281,137 @@ class CliqueModel:
         return rows.select("id", *self.tree.domain.attrs)
 
 
+def _descent(
+    tree: CliqueTree, homes: dict[Clique, list[tuple[str, Clique]]], total: float, rounds: int, tolerance: float
+) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The rounds of a fit for one connected part of a tree, over its rows (root, part, pcell, noisy, share, lam).
+
+    Rows out are (root, kind, name, cell, value) with marginals, potentials and losses. Potentials and marginals are
+    arrays with an axis of tries and one for each attribute of more than one code; messages are those of ``calibrate``.
+    All that tasks need is in the closure, so that they need not import this package.
+    """
+    domain, parent, levels, tries = tree.domain, tree.parent, tree.levels, TRIES
+    names, root = [clique_name(c) for c in tree.cliques], [tree.root(i) for i in range(len(tree.cliques))]
+    axes = [[a for a in c if domain[a] > 1] for c in tree.cliques]
+    shape = [[domain[a] for a in wide] for wide in axes]
+
+    def places(i: int, attrs: Sequence[str]) -> list[int]:
+        return [axes[i].index(a) for a in attrs if a in axes[i]]
+
+    links = [(places(i, tree.separator(i)), places(parent[i], tree.separator(i))) if parent[i] >= 0 else () for i in range(len(names))]
+    parts = {name: (i, places(i, attrs), domain.size(attrs)) for i, c in enumerate(tree.cliques) for name, attrs in homes[c]}
+
+    def margin(x: np.ndarray, at: list[int], sums: Callable) -> np.ndarray:
+        kept = sums(x, tuple(k + 1 for k in range(x.ndim - 1) if k not in at))
+        return kept.transpose(0, *[1 + sorted(at).index(k) for k in at])
+
+    def lifted(y: np.ndarray, at: list[int], i: int) -> np.ndarray:
+        ordered = y.transpose(0, *[1 + at.index(k) for k in sorted(at)])
+        return ordered.reshape(len(y), *[n if k in at else 1 for k, n in enumerate(shape[i])])
+
+    def log_sums(x: np.ndarray, axis: tuple[int, ...]) -> np.ndarray:
+        top = x.max(axis, keepdims=True)
+        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+    def marginals(lams: dict[str, np.ndarray], mine: list[list[int]], n: int) -> dict[int, np.ndarray]:
+        b = {i: np.zeros((n, *shape[i])) for ids in mine for i in ids}
+        for name, lam in lams.items():
+            i, at, _ = parts[name]
+            b[i] = b[i] + lifted(lam.reshape(n, *[shape[i][k] for k in at]), at, i)
+        up = {}
+        for i in (i for ids in reversed(mine[1:]) for i in ids):
+            up[i] = margin(b[i], links[i][0], log_sums)
+            b[parent[i]] = b[parent[i]] + lifted(up[i], links[i][1], parent[i])
+        for i in (i for ids in mine[1:] for i in ids):
+            down = margin(b[parent[i]], links[i][1], log_sums) - up[i]
+            b[i] = b[i] + lifted(down, links[i][0], i)
+        out = {}
+        for i, x in b.items():
+            over = tuple(range(1, x.ndim))
+            e = np.exp(x - x.max(over, keepdims=True))
+            out[i] = e / e.sum(over, keepdims=True)
+        return out
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        at_root = int(rows["root"].iloc[0])
+        mine = [[i for i in ids if root[i] == at_root] for ids in levels]
+        known, noisy, share, lam = {}, {}, {}, {}
+        for name, cells in rows[rows["part"].notna()].groupby("part", sort=True):
+            where = cells["pcell"].to_numpy(np.int64)
+            known[name] = np.zeros(parts[name][2], bool)
+            known[name][where] = True
+            for held, column in ((noisy, "noisy"), (share, "share"), (lam, "lam")):
+                held[name] = np.zeros(parts[name][2])
+                held[name][where] = cells[column].to_numpy(np.float64)
+
+        def tried(lams: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, dict[str, np.ndarray], dict[int, np.ndarray]]:
+            found, loss, hats = marginals(lams, mine, n), np.zeros(n), {}
+            for name in lams:
+                i, at, cells = parts[name]
+                hats[name] = margin(found[i], at, np.sum).reshape(n, cells)
+                loss += (share[name] * (noisy[name] - total * hats[name]) ** 2).sum(1) / 2
+            return loss, hats, found
+
+        loss, hats, held = tried({name: v[None] for name, v in lam.items()}, 1)
+        hat, held = {name: v[0] for name, v in hats.items()}, {i: v[0] for i, v in held.items()}
+        history, step = [float(loss[0])], 1.0
+        for _ in range(rounds if lam else 0):
+            steps = step * 2.0 ** np.array(tries, float)
+            lams = {}
+            for name, v in lam.items():
+                error = share[name] * (noisy[name] / total - hat[name])
+                # a constant of a clique's potentials is free; with the largest one at 0 they don't drift
+                moved = v - v[known[name]].max() + steps[:, None] * error
+                lams[name] = np.where(known[name], moved, 0.0)
+            loss, hats, found = tried(lams, len(steps))
+            chosen = int(np.argmin(np.nan_to_num(loss, nan=np.inf)))
+            if not loss[chosen] < history[-1]:
+                if steps[0] < 1e-6:
+                    break
+                step = steps[0] * 2.0 ** tries[0]
+                continue
+            step = float(steps[chosen])
+            lam, hat = {name: v[chosen] for name, v in lams.items()}, {name: v[chosen] for name, v in hats.items()}
+            held = {i: v[chosen] for i, v in found.items()}
+            history.append(float(loss[chosen]))
+            if history[-2] - history[-1] <= tolerance * history[-1]:
+                break
+        out = [("marginal", names[i], np.arange(v.size), v.ravel()) for i, v in held.items()]
+        out += [("weight", name, np.flatnonzero(known[name]), v[known[name]]) for name, v in lam.items()]
+        out.append(("loss", "", np.arange(len(history)), np.array(history)))
+        return pd.concat([
+            pd.DataFrame({"root": at_root, "kind": kind, "name": name, "cell": cell, "value": value})
+            for kind, name, cell, value in out
+        ])
+
+    return fit
+
+
+def _fit_in_tasks(
+    tree: CliqueTree, homes: dict[Clique, list[tuple[str, Clique]]], state: DataFrame, total: float, rounds: int, tolerance: float
+) -> CliqueModel:
+    """All rounds of a fit in one job: each connected part of the tree is a group, its own rounds run in one task."""
+    roots = {name: tree.root(i) for i, c in enumerate(tree.cliques) for name, _ in homes[c]}
+    of = F.element_at(F.create_map(*[F.lit(v) for kv in sorted(roots.items()) for v in kv]), F.col("part"))
+    # a part of the tree that nothing measures has a row of its own
+    bare = state.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(i) for i, p in enumerate(tree.parent) if p < 0])).alias("root")
+    )
+    rows = state.withColumn("root", of).unionByName(bare, allowMissingColumns=True)
+    fitted = settled(rows.groupBy("root").applyInPandas(
+        _descent(tree, homes, total, rounds, tolerance), "root int, kind string, name string, cell bigint, value double"
+    ))
+    found: dict[int, list[float]] = {}
+    for r in sorted(fitted.where("kind = 'loss'").collect(), key=lambda r: r["cell"]):
+        found.setdefault(r["root"], []).append(r["value"])
+    longest = max(map(len, found.values()))
+    return CliqueModel(
+        tree, fitted.where("kind = 'marginal'").select(F.col("name").alias("clique"), "cell", "value"), total,
+        fitted.where("kind = 'weight'").select(F.col("name").alias("part"), F.col("cell").alias("pcell"), F.col("value").alias("lam")),
+        [sum(losses[min(k, len(losses) - 1)] for losses in found.values()) for k in range(longest)],
+    )
+
+
 def fit_cliques(
     measured: DataFrame, domain: Domain, cliques: Sequence[Sequence[str]], total: float,
     start: CliqueModel | None = None, rounds: int = 100, tolerance: float = 1e-4,
@@ -283,6 +423,9 @@ def fit_cliques(
     allows. A round moves the potentials of every measured cell along its error, tries several step sizes in one job, and
     keeps the one with the smallest loss; the fit ends when a round takes less than ``tolerance`` of it off the loss.
     ``start`` is an earlier model to go on from, over some of the cliques. Without cliques the model is uniform.
+
+    Connected parts of the tree meet in the total alone. A tree that is small enough to be broadcast is fitted in one job,
+    a task for each connected part, with step sizes of its own; on larger ones a round is a job of keyed joins.
     """
     spark, cliques = measured.sparkSession, [tuple(c) for c in cliques]
     tree = CliqueTree.build(domain, cliques)
@@ -298,15 +441,21 @@ def fit_cliques(
     best = mine.where(F.col("stddev") > 0).select(F.min("stddev")).scalar()
     share = F.when(F.col("stddev") > 0, F.pow(best / F.col("stddev"), F.lit(2.0))).otherwise(F.lit(1.0))
     state = mine.select(F.col("clique").alias("part"), F.col("cell").alias("pcell"), "noisy", share.alias("share"))
-    if start is not None and start.weights is not None:
+    warm = start is not None and start.weights is not None
+    if warm:
+        state = state.join(bounded(start.weights, parameters), ["part", "pcell"], "left")
+        state = state.withColumn("lam", F.coalesce("lam", F.lit(0.0)))
+    else:
+        state = state.withColumn("lam", F.lit(0.0))
+    if tree.cells <= TASK_CELLS:
+        return _fit_in_tasks(tree, homes, state, float(total), rounds, tolerance)
+    if warm:
         known = start.answers(cliques).select(
             F.col("clique").alias("part"), F.col("cell").alias("pcell"), (F.col("value") / F.lit(start.total)).alias("hat")
         )
-        state = state.join(bounded(start.weights, parameters), ["part", "pcell"], "left")
         state = state.join(bounded(known, parameters), ["part", "pcell"], "left")
-        state = state.withColumn("lam", F.coalesce("lam", F.lit(0.0)))
     else:
-        state = state.withColumns({"lam": F.lit(0.0), "hat": F.element_at(sizes, F.col("part"))})
+        state = state.withColumn("hat", F.element_at(sizes, F.col("part")))
 
     def losses(tried: DataFrame) -> tuple[dict[int, float], dict[int, dict[str, float]]]:
         """Loss of each try, and the largest potential of each clique."""

@@ -105,11 +105,11 @@ class Release:
         ))
         self.taken += [c for c in cliques if c not in self.taken]
 
-    def refit(self, rounds: int | None = None) -> None:
-        """The model goes on from the potentials that it has."""
+    def refit(self) -> None:
+        """The model goes on from the potentials that it has, until no step lowers the loss or all rounds are done."""
         self.model = fit_cliques(
             self.truth if self.measured is None else self.measured, self.domain, self.taken, self.total,
-            self.model, rounds or self.fit_rounds,
+            self.model, self.fit_rounds, 0.0,
         )
 
     def moved(self, clique: Clique, before: CliqueModel) -> float:
@@ -120,7 +120,7 @@ class Release:
         return both.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
 
     def rows(self, n: int | None, seed: str) -> DataFrame:
-        self.refit(self.fit_rounds + 9)
+        self.refit()
         return self.model.sample(self.truth.sparkSession, n or max(1, int(self.total)), seed, draw_child)
 
 
@@ -140,7 +140,7 @@ def _subsets(cliques: Sequence[Clique], domain: Domain) -> list[Clique]:
 
 def aim_synthesize(
     df: DataFrame, domain: Domain, epsilon: float, delta: float, cliques: Sequence[Sequence[str]] | None = None,
-    rounds: int | None = None, max_cells: int = 100_000, fit_rounds: int = 1, seed: str | None = None,
+    rounds: int | None = None, max_cells: int = 100_000, fit_rounds: int = 1000, seed: str | None = None,
     n: int | None = None,
 ) -> tuple[DataFrame, list[tuple[str, float]]]:
     """Synthetic rows from adaptive rounds, and the ledger of the budget (what, cost).
@@ -186,7 +186,7 @@ def aim_synthesize(
 def mwem_synthesize(
     df: DataFrame, domain: Domain, epsilon: float, delta: float, cliques: Sequence[Sequence[str]] | None = None,
     rounds: int | None = None, noise: str = "gaussian", bounded: bool = False, alpha: float = 0.9,
-    max_cells: int = 100_000, fit_rounds: int = 1, seed: str | None = None, n: int | None = None,
+    max_cells: int = 100_000, fit_rounds: int = 1000, seed: str | None = None, n: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Synthetic rows from rounds of worst-clique selection, measurement and refit, and the cliques in order.
 

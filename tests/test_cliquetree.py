@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import ORDER_DOMAIN, orders
 from margrid.domain import Domain, validate_domain
+from margrid.operators import cliquetree as T
 from margrid.operators import marginals as M
 from margrid.operators.cliquetree import CliqueTree, calibrate, fit_cliques
 from margrid.operators.marginals import clique_name
@@ -109,3 +110,76 @@ def test_rounds_leave_no_constraints_behind(spark):
     model = fit_cliques(measured, TOY.project(["a", "d"]), [("a", "d")], 100.0, rounds=3, tolerance=0.0)
     for table in (model.marginals, model.weights):
         assert table._jdf.queryExecution().optimizedPlan().constraints().size() <= 4
+
+
+def _noisy(spark, domain, cliques, total, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k, c in enumerate(cliques):
+        table = rng.dirichlet(np.full(domain.size(c), 0.7)) * total + rng.normal(scale=2.0 + k, size=domain.size(c))
+        rows += [(clique_name(c), cell, float(v), 2.0 + k) for cell, v in enumerate(table)]
+    return spark.createDataFrame(rows, "clique string, cell long, noisy double, stddev double")
+
+
+def test_tasks_fit_like_joins(spark, monkeypatch):
+    """A loop, an attribute of one code, a clique in another order than the domain's and an attribute that nothing measures."""
+    domain = Domain.of({"a": 2, "o": 1, "b": 3, "c": 2, "d": 2, "e": 3})
+    cliques = [("b", "o", "a"), ("b", "c"), ("c", "d"), ("a", "d"), ("a",)]
+    measured, fits = _noisy(spark, domain, cliques, 400.0, 3), []
+    for cells in (10**6, 0):
+        monkeypatch.setattr(T, "TASK_CELLS", cells)
+        first = fit_cliques(measured, domain, cliques[:2], 400.0, rounds=2, tolerance=0.0)
+        fits.append(fit_cliques(measured, domain, cliques, 400.0, first, rounds=3, tolerance=0.0))
+    tasks, joins = fits
+    assert tasks.losses == pytest.approx(joins.losses, rel=1e-9) and len(tasks.losses) == 4
+    for read in (lambda m: m.marginals, lambda m: m.weights):
+        got, want = ({tuple(r)[:2]: r[2] for r in read(m).collect()} for m in fits)
+        assert got.keys() == want.keys()
+        assert [got[k] for k in sorted(got)] == pytest.approx([want[k] for k in sorted(got)], rel=1e-6, abs=1e-9)
+
+
+def test_parts_of_a_tree_fit_on_their_own(spark):
+    """Two edges that share nothing: each ends as if it were alone, and the losses add up."""
+    domain = Domain.of({"a": 3, "b": 2, "c": 2, "d": 4})
+    cliques = [("a", "b"), ("c", "d")]
+    measured = _noisy(spark, domain, cliques, 300.0, 8)
+    both = fit_cliques(measured, domain, cliques, 300.0, rounds=200, tolerance=0.0)
+    table = {(r["clique"], r["cell"]): r["noisy"] for r in measured.collect()}
+    least = 0.0
+    for c, weight in zip(cliques, (1.0, (2.0 / 3.0) ** 2)):
+        # the nearest table of non-negative cells with the total: cells less a constant, cut at zero
+        y = np.array([table[clique_name(c), k] for k in range(domain.size(c))])
+        down = np.sort(y)[::-1]
+        shift = max((down[: k + 1].sum() - 300.0) / (k + 1) for k in range(len(y)))
+        least += weight * ((np.maximum(y - shift, 0.0) - y) ** 2).sum() / 2
+    assert both.losses == sorted(both.losses, reverse=True)
+    assert both.losses[-1] == pytest.approx(least, rel=1e-3)
+
+
+def _coded(spark, domain, n, seed):
+    rng = np.random.default_rng(seed)
+    first = rng.integers(0, domain.sizes[0], n)
+    columns = [first] + [(first + rng.integers(0, 2, n)) % size for size in domain.sizes[1:]]
+    return spark.createDataFrame([tuple(map(int, r)) for r in zip(*columns)], ", ".join(f"{a} int" for a in domain.attrs))
+
+
+@pytest.mark.parametrize("way", ["aim", "mwem"])
+def test_rounds_fit_to_the_end(spark, monkeypatch, way):
+    """No refit stops before its loss is as small as it gets: 300 more rounds take next to nothing off it."""
+    domain, calls = Domain.of({"a": 3, "b": 3, "c": 4}), []
+
+    def kept(*args):
+        calls.append((args, fit_cliques(*args)))
+        return calls[-1][1]
+
+    monkeypatch.setattr(A, "fit_cliques", kept)
+    rows = _coded(spark, domain, 400, 4)
+    if way == "aim":
+        A.aim_synthesize(rows, domain, 5.0, 1e-6, rounds=4, seed="end")
+    else:
+        A.mwem_synthesize(rows, domain, 5.0, 1e-6, seed="end")
+    fits = [(args, model) for args, model in calls if model.losses]
+    assert len(fits) >= 3
+    for (measured, _, cliques, total, *_), model in fits:
+        more = fit_cliques(measured, domain, cliques, total, model, 300, 0.0).losses
+        assert more[0] - more[-1] <= 1e-4 * more[0] + 1e-6 * total
