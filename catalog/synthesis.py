@@ -220,7 +220,7 @@ _SMALL = ORDER_DOMAIN.project(["status", "prio", "price"])
 
 @query("aim_synthesize")
 def aim_synthesize(spark, sf):
-    rows, _ = A.aim_synthesize(orders(spark, sf), ORDER_DOMAIN, 10.0, DELTA, rounds=8, seed="aim")
+    rows, _ = A.aim_synthesize(orders(spark, sf), ORDER_DOMAIN, 10.0, DELTA, seed="aim")
     return rows
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import synthesis
 from catalog.base import ORDER_DOMAIN, orders
 from margrid.domain import Domain, validate_domain
 from margrid.operators import cliquetree as T
@@ -183,3 +184,21 @@ def test_rounds_fit_to_the_end(spark, monkeypatch, way):
     for (measured, _, cliques, total, *_), model in fits:
         more = fit_cliques(measured, domain, cliques, total, model, 300, 0.0).losses
         assert more[0] - more[-1] <= 1e-4 * more[0] + 1e-6 * total
+
+
+def test_registered_aim_keeps_the_pace_of_its_attributes(spark, monkeypatch):
+    """16 rounds an attribute: the one-way tables take four shares of 64."""
+    seen = []
+
+    def kept(*args, real=A.aim_synthesize, **named):
+        rows, ledger = real(*args, **named)
+        seen.append(ledger)
+        return rows, ledger
+
+    monkeypatch.setattr(A, "aim_synthesize", kept)
+    monkeypatch.setattr(synthesis, "orders", lambda spark, sf: _coded(spark, ORDER_DOMAIN, 300, 6))
+    rows = synthesis.aim_synthesize(spark, "")
+    rho = A.zcdp_rho(10.0, synthesis.DELTA)
+    assert seen[0][0] == ("one-way", pytest.approx(4 * 0.9 * rho / 64, rel=1e-9))
+    assert sum(cost for _, cost in seen[0]) == pytest.approx(rho, rel=1e-6)
+    assert validate_domain(rows, ORDER_DOMAIN).agg(F.sum("bad_rows")).first()[0] == 0
